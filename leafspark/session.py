@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: set[str] = set()
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
@@ -24,28 +28,62 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; set one only where it is unset.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; set only where it is unset.
 
     On a cluster an unset folder is an error, as a machine-local folder would not
     survive the loss of an executor; in local mode (tests) a temporary folder serves.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local[") or sc.master == "local":
+        return named
+    if sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="leafspark-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return sc._jsc.sc().getCheckpointDir().get()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder.
+
+    Unlike a checkpointed plan, a table carries no constraints over from the plan that made
+    it; those grow with every round of an iterative algorithm. release() drops the table, and
+    what is left goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/leafspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafspark_path = path
+    if not _WRITTEN:
+        atexit.register(_sweep, spark)
+    _WRITTEN.add(path)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a cut frame that nothing reads any more."""
+    path = getattr(df, "_leafspark_path", None)
+    if path in _WRITTEN:
+        _WRITTEN.discard(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep(spark: SparkSession) -> None:
+    try:
+        for path in _WRITTEN:
+            _delete(spark, path)
+    except Exception:  # the session is gone; the folder's owner cleans up
+        pass
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
