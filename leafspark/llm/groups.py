@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.session import cut
+from leafspark.session import cut, release
 
 #: A further stripping round is worth its jobs while it removes at least this share of the edges.
 STRIP_SHARE = 0.02
@@ -89,7 +89,8 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
         q = p.select(F.col("s").alias("qs"), F.col("t").alias("qt"), F.col("cs").alias("qcs"), F.col("ct").alias("qct"), F.col("done").alias("qdone"), F.col("low").alias("qlow"))
         j = p.where("not done").join(q, (F.col("cs") == F.col("qs")) & (F.col("ct") == F.col("qt")), "left")
         moved = j.select("s", "t", F.coalesce("qcs", "cs").alias("cs"), F.coalesce("qct", "ct").alias("ct"), F.coalesce("qdone", F.lit(True)).alias("done"), F.least("low", "qlow").alias("low"))
-        p = cut(p.where("done").union(moved))
+        p, old = cut(p.where("done").union(moved)), p
+        release(old)
     ends = cut(p.groupBy("s").agg(F.min("ct").alias("a"), F.max("ct").alias("b"), F.min("done").alias("done"), F.min("low").alias("low")))
     gone = ends.select(F.col("s").alias("x"), F.when(F.col("done"), F.col("a")).otherwise(F.col("low")).alias("parent")).where("x <> parent")
     short = ends.where("done and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -107,10 +108,13 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _roots(forest: DataFrame) -> DataFrame:
     """Pointer doubling until every vertex points at its root; a vertex without a row is a root."""
+    old = None
     while True:
         up = forest.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
         j = cut(forest.join(up, "parent", "left").select("x", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")))
-        forest = j.select("x", "parent")
+        if old is not None:
+            release(old)
+        old, forest = j, j.select("x", "parent")
         if j.where("moved").isEmpty():
             return forest
 
