@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspark.session import cut, release
+
 WORD = re.compile(r"[^\W\d_]+")
 SEQUENCE = 6
 COMMON = 100
@@ -106,16 +108,24 @@ def language_references(documents: DataFrame, text: str = "text", lang: str = "l
 
     tongue = F.coalesce(F.lower(F.trim(F.col(lang))), F.lit(""))
     n = documents.where(F.col(text).isNotNull()).select(tongue.alias("lang"), F.col(text).alias("text")).mapInArrow(counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # the sums of all words stay with the grouped rows: a window per language would gather a language in one task
-    totals = {r["lang"]: r["n"] for r in n.where(~F.col("word").startswith("\0")).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(int(1 / MIN_LANG_SHARE)).collect()}
+    n = cut(n)
+    letters = ~F.col("word").startswith("\0")
+    totals = {r["lang"]: r["n"] for r in n.where(letters).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(int(1 / MIN_LANG_SHARE)).collect()}
     everything = sum(totals.values())
+    languages = sorted(x for x, k in totals.items() if k and k >= MIN_LANG_SHARE * everything)
+    # the window keeps COMMON rows of a language, and each task sends no more than that
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top, kinds = defaultdict(list), defaultdict(dict)
+    for r in n.where(letters & F.col("lang").isin(languages)).withColumn("place", F.row_number().over(most)).where(F.col("place") <= COMMON).orderBy("lang", "place").collect():
+        top[r["lang"]].append((r["word"], r["n"] / totals[r["lang"]]))
+    for r in n.where(~letters & F.col("lang").isin(languages)).collect():
+        kinds[r["lang"]][r["word"]] = r["n"]
     out = []
-    for g in sorted(x for x, k in totals.items() if k >= MIN_LANG_SHARE * everything and k):
-        top = n.where((F.col("lang") == g) & ~F.col("word").startswith("\0")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
-        shares = [r["n"] / totals[g] for r in top]
-        kinds = {r["word"]: r["n"] for r in n.where((F.col("lang") == g) & F.col("word").startswith("\0")).collect()}
-        c = np.array([kinds.get(f"\0{i}", 0) for i in range(CLASSES)], float)
-        out.append((g, [r["word"] for r in top], [*shares, max(0.0, 1 - sum(shares))], list(c / max(1.0, c.sum()))))
+    for g in languages:
+        c = [kinds[g].get(f"\0{i}", 0) for i in range(CLASSES)]
+        shares = [x for _, x in top[g]]
+        out.append((g, [w for w, _ in top[g]], [*shares, max(0.0, 1 - sum(shares))], [float(x) / max(1, sum(c)) for x in c]))
+    release(n)
     return out
 
 
