@@ -25,7 +25,9 @@ from leafspark.llm.vectors import matrix
 
 #: Rows of the fitted sample of a collection, vectors per part aimed at, the most parts.
 SAMPLE, PART, MOST_PARTS = 10_000, 512, 256
-PROBES = 4
+PROBES = 6
+#: For neighbours at any distance, of which near copies are few, more parts are searched.
+WIDE_PROBES = 12
 INDEX_BLOCK, QUERY_BLOCK = 30_000, 30_000
 
 
