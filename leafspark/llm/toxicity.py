@@ -42,7 +42,6 @@ INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 BREAK = re.compile(r"(?<=[.!?。…])[\"')\]*_]*\s+|\n\s*\n|\n(?=[ \t]*(?:[-*+>|#]|\d+[.)]) ?)|\|")
 QUOTED = re.compile(r"(?<!\w)(['\"])(?=\S)[^'\"\n]{2,120}?\1(?!\w)|«[^»]*»|“[^”]*”|„[^“”]*[“”]|‘[^’]*’")
 TOKEN = re.compile(r"[^\W\d_]+")
-ODD = re.compile(r"([^\W\d_])\1\1|[^\W_][@#*$_.\-][^\W_\s]|[^\W\d_]\d|\d[^\W\d_]|(?<!\S)[^\W\d_] [^\W\d_](?!\w)|[가-힣] [가-힣](?![가-힣])")
 LEET = str.maketrans("013457", "oieast")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])|(?<![가-힣])[가-힣](?:[.\-_*][가-힣])+")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?: [^\W\d_]{2})?(?![^\W_])")
@@ -61,6 +60,58 @@ VOTERS = {c: ["term", "disguised", "alone", *(n for k, n, _, _ in PATTERNS if k
 _PATTERNS = [(c, n, v, re.compile(p)) for c, n, v, p in PATTERNS]
 _POSITIVE = re.compile("|".join(f"(?:{p})" for _, _, v, p in PATTERNS if v > 0))
 _YOU = re.compile(SECOND_PERSON)
+_SIGN = re.compile(r"[^\W\d_][@#*$_.\-\d][^\W_\s]|\d[^\W\d_]|(?<!\S)[^\W\d_] [^\W\d_](?!\w)|[가-힣] [가-힣](?![가-힣])")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú"
+
+
+def literals(pattern: str) -> set[str]:
+    """Strings of which any match of a pattern holds at least one; the empty string if none can be told."""
+    from re import _constants as k
+    from re import _parser as parser
+
+    def of(seq) -> set[str]:
+        best, run = {""}, ""
+        better = lambda x: min(map(len, x)) > min(map(len, best))
+        for op, arg in [*seq, (None, None)]:
+            if op is k.LITERAL:
+                run += chr(arg)
+                continue
+            if run and better({run}):
+                best = {run}
+            run = ""
+            inner = None
+            if op is k.SUBPATTERN:
+                inner = of(arg[-1])
+            elif op is k.BRANCH:
+                inner = set().union(*(of(x) for x in arg[1]))
+            elif op in (k.MAX_REPEAT, k.MIN_REPEAT) and arg[0] > 0:
+                inner = of(arg[2])
+            if inner and better(inner):
+                best = inner
+        return best
+
+    return of(parser.parse(pattern))
+
+
+_HINTS = None
+
+
+def hints():
+    """An automaton of the terms and of what the patterns for a category must hold: a sentence without a hit has no votes."""
+    global _HINTS
+    if _HINTS is None:
+        import ahocorasick
+
+        _HINTS = ahocorasick.Automaton()
+        for x in {*CLASSES, *literals(_POSITIVE.pattern)}:
+            _HINTS.add_word(x, x)
+        _HINTS.make_automaton()
+    return _HINTS
+
+
+def odd(s: str) -> bool:
+    """Whether a lower-case sentence may hold a disguised term."""
+    return _SIGN.search(s) is not None or any(c + c + c in s for c in _LETTERS)
 
 
 def term(token: str) -> str | None:
@@ -95,7 +146,7 @@ def _unmasked(token: str) -> str:
 
 def unmask(s: str) -> tuple[str, bool]:
     """(a lower-case sentence with disguised terms replaced by what they hide, whether there were any)."""
-    if not ODD.search(s):
+    if not odd(s):
         return s, False
     hidden = False
 
@@ -127,6 +178,8 @@ def sentences(text: str) -> list[str]:
 def votes(s: str) -> tuple[dict[str, list[int]], list[str], str]:
     """(votes per category without the annotators', tokens, the unmasked sentence) of a lower-case sentence."""
     full, hidden = unmask(s)
+    if not hidden and next(hints().iter(full), None) is None:
+        return {}, TOKEN.findall(full), full
     bare = QUOTED.sub(" ", full) if "'" in full or '"' in full or "«" in full or "“" in full or "„" in full or "‘" in full else full
     tokens = TOKEN.findall(bare)
     named = {c: False for c in CATEGORIES}
@@ -156,18 +209,45 @@ def votes(s: str) -> tuple[dict[str, list[int]], list[str], str]:
     return out, tokens, bare
 
 
-def features(v: dict[str, list[int]], tokens: list[str]) -> list[int]:
-    """Hashed words, word pairs, term classes and votes."""
-    names = set(tokens)
-    marks = []
+_IDS: dict[str, int] = {}
+MASK = (1 << BITS) - 1
+
+
+def _id(name: str) -> int:
+    """The hash of a name, kept for names that come again."""
+    h = _IDS.get(name)
+    if h is None:
+        if len(_IDS) > 300_000:
+            _IDS.clear()
+        h = _IDS[name] = zlib.crc32(name.encode("utf-8", "surrogatepass"))
+    return h
+
+
+def words_of(v: dict[str, list[int]], tokens: list[str]) -> tuple[list[int], list[int]]:
+    """(hashes of the words in order, with listed terms as their classes; hashes of the terms, and of the votes)."""
+    if not v:
+        return [_id(t) for t in tokens], []
+    order, more = [], [_id(f"\1{c}{i}{y:+d}") for c, x in v.items() for i, y in enumerate(x) if y]
     for t in tokens:
         hit = term(t)
-        marks.append("<" + "+".join(CLASSES[hit]) + ">" if hit else t)
-    names.update(m for m in marks if m[0] == "<")
-    names.update(f"{a} {b}" for a, b in zip(marks, marks[1:]))
-    for c, x in v.items():
-        names.update(f"\1{c}{i}{y:+d}" for i, y in enumerate(x) if y)
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
+        order.append(_id("<" + "+".join(CLASSES[hit]) + ">" if hit else t))
+        if hit:
+            more.append(_id(t))
+    return order, more
+
+
+def features(order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of words, features of pairs; a pair across sentences, which start at `starts`, has the feature of no pair)."""
+    pairs = (order[:-1] * 40503 + order[1:] * 2654435761 + 97) >> 7
+    pairs = (pairs & MASK).astype(np.int64)
+    pairs[starts[1:] - 1] = MASK + 1
+    return order & MASK, pairs
+
+
+def vote_features(v: dict[str, list[int]], tokens: list[str]) -> list[int]:
+    order, more = words_of(v, tokens)
+    one, two = features(np.array(order, np.int64), np.zeros(1, np.int64))
+    return [*one.tolist(), *two.tolist(), *(x & MASK for x in more)]
 
 
 def vote_table(documents: DataFrame, labels: DataFrame | None, text: str = "text") -> DataFrame:
@@ -185,7 +265,7 @@ def vote_table(documents: DataFrame, labels: DataFrame | None, text: str = "text
                     v, tokens, _ = votes(s)
                     h = zlib.crc32(s.encode("utf-8", "surrogatepass"))
                     if v or (tokens and h % NEUTRAL == 0):
-                        rows.append((k, h, *("".join("-0+"[y + 1] for y in v.get(c, ())) for c in CATEGORIES), features(v, tokens)))
+                        rows.append((k, h, *("".join("-0+"[y + 1] for y in v.get(c, ())) for c in CATEGORIES), vote_features(v, tokens) if tokens else []))
             kinds = [b.column(0).type, pa.int64(), *[pa.string()] * len(CATEGORIES), pa.list_(pa.int32())]
             cols = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), p) for x, p in zip(cols, kinds)], names=["doc_id", "h", *CATEGORIES, "f"])
@@ -313,19 +393,31 @@ def scores(documents: DataFrame, labels: DataFrame | None = None, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for b in batches:
-            out = np.zeros((b.num_rows, len(CATEGORIES)))
-            for i, t in enumerate(b.column(1).to_pylist()):
-                col, size = [], []
-                for s in sentences(t or ""):
-                    v, tokens, _ = votes(s)
-                    if tokens:
-                        f = features(v, tokens)
-                        col += f
-                        size.append(len(f))
-                if size:
-                    z = np.add.reduceat(w[col], np.r_[0, np.cumsum(size)[:-1]], axis=0) + w[-1]
-                    out[i] = 1 / (1 + np.exp(-z.max(axis=0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, k]) for k in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                order, starts, docs, extra, extra_at = [], [], [], [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    for s in sentences(t or ""):
+                        v, tokens, _ = votes(s)
+                        if tokens:
+                            ids, more = words_of(v, tokens)
+                            if more:
+                                extra += more
+                                extra_at += [len(starts)] * len(more)
+                            starts.append(len(order))
+                            docs.append(i)
+                            order += ids
+                out = np.zeros((part.num_rows, len(CATEGORIES)))
+                if order:
+                    first = np.array(starts)
+                    one, two = features(np.array(order, np.int64), first)
+                    z = w[one]
+                    z[:-1] += np.where((two <= MASK)[:, None], w[np.minimum(two, MASK)], 0)
+                    z = np.add.reduceat(z, first, axis=0) + w[-1]
+                    if extra:
+                        np.add.at(z, extra_at, w[np.array(extra, np.int64) & MASK])
+                    np.maximum.at(out, docs, 1 / (1 + np.exp(-z.astype(np.float64))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[:, k]) for k in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
 
     scored = documents.where("doc_id is not null").select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{c} double" for c in CATEGORIES))
     return scored.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CATEGORIES))
