@@ -61,7 +61,7 @@ _PATTERNS = [(c, n, v, re.compile(p)) for c, n, v, p in PATTERNS]
 _POSITIVE = re.compile("|".join(f"(?:{p})" for _, _, v, p in PATTERNS if v > 0))
 _YOU = re.compile(SECOND_PERSON)
 _SIGN = re.compile(r"[^\W\d_][@#*$_.\-\d][^\W_\s]|\d[^\W\d_]|(?<!\S)[^\W\d_] [^\W\d_](?!\w)|[가-힣] [가-힣](?![가-힣])")
-_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú" + "".join(sorted({c for t in CLASSES for c in t if "가" <= c <= "힣"}))
 
 
 def literals(pattern: str) -> set[str]:
@@ -93,7 +93,20 @@ def literals(pattern: str) -> set[str]:
     return of(parser.parse(pattern))
 
 
-_HINTS = None
+_HINTS = _RUNS = None
+
+
+def runs():
+    """An automaton of the letters three times in a row."""
+    global _RUNS
+    if _RUNS is None:
+        import ahocorasick
+
+        _RUNS = ahocorasick.Automaton()
+        for c in _LETTERS:
+            _RUNS.add_word(3 * c, c)
+        _RUNS.make_automaton()
+    return _RUNS
 
 
 def hints():
@@ -111,7 +124,7 @@ def hints():
 
 def odd(s: str) -> bool:
     """Whether a lower-case sentence may hold a disguised term."""
-    return _SIGN.search(s) is not None or any(c + c + c in s for c in _LETTERS)
+    return _SIGN.search(s) is not None or next(runs().iter(s), None) is not None
 
 
 def term(token: str) -> str | None:
