@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafspark.functions.vectors import dot, norm, usable
 from leafspark.session import cut, release
 
+#: Rows of a block on one side of a task's pairs.
+PAIR_ROWS = 500
 STRATEGIES = ("first", "longest", "best_metadata")
 
 
@@ -17,9 +19,14 @@ def pairwise(chunks: DataFrame, block: str, item: str, vec: str = "embedding") -
     Vectors are brought to length one first, so that a pair costs one product.
     """
     n = norm(F.col(vec))
-    unit = chunks.where(usable(F.col(vec))).select(F.col(block).alias("block"), F.col(item).alias("i"), F.transform(vec, lambda x: x.cast("double") / n).alias("v"))
-    right = unit.select("block", F.col("i").alias("j"), F.col("v").alias("w"))
-    return unit.join(right, "block").where((F.col("i") < F.col("j")) & (F.size("v") == F.size("w"))).select("block", "i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
+    base = chunks.where(usable(F.col(vec)))
+    unit = base.select(F.col(block).alias("block"), F.col(item).alias("i"), F.transform(vec, lambda x: x.cast("double") / n).alias("v"))
+    # one side of a large block is split by a salt, the other meets every salt: the block's pairs spread over many tasks
+    sizes = base.groupBy(F.col(block).alias("block")).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("salts"))
+    unit = unit.join(sizes, "block")
+    left = unit.withColumn("salt", F.pmod(F.hash("i"), F.col("salts")))
+    right = unit.select("block", F.col("i").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["block", "salt"]).where((F.col("i") < F.col("j")) & (F.size("v") == F.size("w"))).select("block", "i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
 
 
 def duplicate_pairs(chunks: DataFrame, block: str, item: str, threshold: float = 0.85, vec: str = "embedding") -> DataFrame:
