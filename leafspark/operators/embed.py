@@ -36,10 +36,14 @@ def hashing_vector(text: F.Column, dim: int = 64) -> F.Column:
     """A bag of words of signed hash counts at length one, in the JVM; null for a blank text."""
     if dim < 1:
         raise ValueError("dim must be at least 1")
-    hashed = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(cells, lambda x: (x / norm).cast("float")))
+    bind = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  a value bound once: else each use computes it again
+    sign = lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    cell = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dim)) == i), F.lit(0.0), lambda s, h: s + sign(h))
+    unit = lambda v, n: F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float")))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    hashes = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
+    cells = bind(hashes, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: cell(hs, i)))
+    return bind(cells, lambda v: bind(norm(v), lambda n: unit(v, n)))
 
 
 def embed(texts: DataFrame, model: str, column: str = "content") -> DataFrame:
