@@ -359,7 +359,9 @@ def fit(table: DataFrame) -> tuple[np.ndarray, dict[str, LabelModel]]:
             models[c] = LabelModel([r[c] for r in seen], [r["n"] for r in seen])
     n = table.count()
     if not n or not models:
-        return np.zeros(((1 << BITS) + 1, len(CATEGORIES))), models
+        none = np.zeros(((1 << BITS) + 1, len(CATEGORIES)))
+        none[-1] = -10  # nothing speaks for any category
+        return none, models
     share = min(1.0, SAMPLE / n)
     rows = table.where(F.pmod(F.xxhash64("h", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*CATEGORIES, "f").limit(2 * SAMPLE).toArrow()
     y = np.array([[models[c].posterior(p) if p and c in models and "+" in p[:-1] else 0.0 for p in rows.column(c).to_pylist()] for c in CATEGORIES]).T
