@@ -119,7 +119,7 @@ def test_elements(spark):
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame([(1, i, v, i, "x" * (10 + i % 3)) for i, v in enumerate(rows)], "doc_id int, i int, embedding array<float>, original_position int, content string").withColumns({f"h{k}": F.lit(None).cast("string") for k in range(1, 7)}).withColumn("chunk_id", F.col("i").cast("string"))
+    return spark.createDataFrame([(1, i, None if v is None else [float(x) for x in v], i, "x" * (10 + i % 3)) for i, v in enumerate(rows)], "doc_id int, i int, embedding array<float>, original_position int, content string").withColumns({f"h{k}": F.lit(None).cast("string") for k in range(1, 7)}).withColumn("chunk_id", F.col("i").cast("string"))
 
 
 def test_cosine_and_unusable_vectors(spark):
