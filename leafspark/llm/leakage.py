@@ -38,7 +38,7 @@ ITEM_BLOCK = 2_000
 #: A window's words in the vocabulary from which on it is compared, for paraphrases.
 LEAST_KNOWN = 9
 #: A paraphrase needs this cosine, share of the passage in the common subsequence, and share of its answer words.
-NEAR, COMMON_SHARE, ANSWER_SHARE = 0.85, 0.7, 0.8
+NEAR, COMMON_SHARE, ANSWER_SHARE = 0.6, 0.7, 0.8
 
 
 def words(text: str) -> list[str]:
@@ -183,10 +183,12 @@ def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
                     if i not in found or found[i][0] != "verbatim" or found[i][1] < n:
                         found[i] = ("verbatim", n, float(s[r, p]))
             best = {}
-            for r, p in zip(*np.nonzero(s >= NEAR)):
+            top = s.argmax(axis=0)
+            high = s[top, np.arange(s.shape[1])]
+            for p in np.flatnonzero(high >= NEAR).tolist():
                 i = int(block.owner[p])
-                if (i not in found or found[i][0] != "verbatim") and s[r, p] > best.get(i, (0,))[0]:
-                    best[i] = (float(s[r, p]), int(r), int(p))
+                if (i not in found or found[i][0] != "verbatim") and high[p] > best.get(i, (0,))[0]:
+                    best[i] = (float(high[p]), int(top[p]), p)
             for i, (c, r, p) in best.items():
                 a = max(0, at + starts[lo + r] - PASSAGE // 2)
                 around, item = ids[a : a + 2 * PASSAGE].tolist(), block.spans[p].tolist()
