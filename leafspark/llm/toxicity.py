@@ -93,7 +93,7 @@ def literals(pattern: str) -> set[str]:
     return of(parser.parse(pattern))
 
 
-_HINTS = _RUNS = None
+_HINTS = _RUNS = _SIGNS = None
 
 
 def runs():
@@ -122,6 +122,19 @@ def hints():
     return _HINTS
 
 
+def signs():
+    """An automaton of both the hints and the letters three times in a row."""
+    global _SIGNS
+    if _SIGNS is None:
+        import ahocorasick
+
+        _SIGNS = ahocorasick.Automaton()
+        for x in {*hints().keys(), *runs().keys()}:
+            _SIGNS.add_word(x, x)
+        _SIGNS.make_automaton()
+    return _SIGNS
+
+
 def odd(s: str) -> bool:
     """Whether a lower-case sentence may hold a disguised term."""
     return _SIGN.search(s) is not None or next(runs().iter(s), None) is not None
@@ -188,11 +201,13 @@ def sentences(text: str) -> list[str]:
     return [" ".join(s.split()) for s in BREAK.split(text) if s and not s.isspace()]
 
 
-def votes(s: str) -> tuple[dict[str, list[int]], list[str], str]:
-    """(votes per category without the annotators', tokens, the unmasked sentence) of a lower-case sentence."""
+def votes(s: str) -> tuple[dict[str, list[int]], list[str] | None, str]:
+    """(votes per category without the annotators', words or None if they weren't needed, the unmasked sentence) of a lower-case sentence."""
+    if _SIGN.search(s) is None and next(signs().iter(s), None) is None:
+        return {}, None, s
     full, hidden = unmask(s)
     if not hidden and next(hints().iter(full), None) is None:
-        return {}, TOKEN.findall(full), full
+        return {}, None, full
     bare = QUOTED.sub(" ", full) if "'" in full or '"' in full or "«" in full or "“" in full or "„" in full or "‘" in full else full
     tokens = TOKEN.findall(bare)
     named = {c: False for c in CATEGORIES}
@@ -239,7 +254,8 @@ def _id(name: str) -> int:
 def words_of(v: dict[str, list[int]], tokens: list[str]) -> tuple[list[int], list[int]]:
     """(hashes of the words in order, with listed terms as their classes; hashes of the terms, and of the votes)."""
     if not v:
-        return [_id(t) for t in tokens], []
+        get = _IDS.get
+        return [get(t) or _id(t) for t in tokens], []
     order, more = [], [_id(f"\1{c}{i}{y:+d}") for c, x in v.items() for i, y in enumerate(x) if y]
     for t in tokens:
         hit = term(t)
@@ -275,8 +291,10 @@ def vote_table(documents: DataFrame, labels: DataFrame | None, text: str = "text
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for s in sentences(t):
-                    v, tokens, _ = votes(s)
+                    v, tokens, said = votes(s)
                     h = zlib.crc32(s.encode("utf-8", "surrogatepass"))
+                    if tokens is None and h % NEUTRAL == 0:
+                        tokens = TOKEN.findall(said)
                     if v or (tokens and h % NEUTRAL == 0):
                         rows.append((k, h, *("".join("-0+"[y + 1] for y in v.get(c, ())) for c in CATEGORIES), vote_features(v, tokens) if tokens else []))
             kinds = [b.column(0).type, pa.int64(), *[pa.string()] * len(CATEGORIES), pa.list_(pa.int32())]
@@ -413,7 +431,9 @@ def scores(documents: DataFrame, labels: DataFrame | None = None, text: str = "t
                 order, starts, docs, extra, extra_at = [], [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     for s in sentences(t or ""):
-                        v, tokens, _ = votes(s)
+                        v, tokens, said = votes(s)
+                        if tokens is None:
+                            tokens = TOKEN.findall(said)
                         if tokens:
                             ids, more = words_of(v, tokens)
                             if more:
