@@ -4,23 +4,21 @@ Density clustering where two records are similar from a cosine on and a record w
 one similar other is a core point, so that a cluster is a connected set of similar records:
 
 1. A bounded sample fits a principal-axes reduction and pivots in the reduced space.
-2. Every vector goes to the cell of its nearest pivot, its home, and as a guest to each cell
-   whose border (the bisecting plane to its home) lies within the margin in the reduced space.
-3. Every cell compares its home vectors with all its vectors, blockwise, on the full vectors:
-   each home vector gets its number of similar others and the sum of their cosines, and the
-   cell's local clusters come out as (record, smallest record of the local cluster).
-4. Local clusters whose records went to one task only are final. The others are merged
-   through the core points they share, by the distributed grouping of ``groups``.
-
-Reduction shortens distances, so a margin of the similarity radius sqrt(2 - 2 cos) loses
-nothing; it also sends vectors of many independent axes to nearly all cells. The part of a
-difference that lies along one axis is small in many dimensions, so the default margin is
-MARGIN; the tests and the README give the measured loss.
-
-Large cells are split: a cell's home vectors into blocks, its vectors into blocks, one task
-per pair of blocks, so that a cell with a third of all rows is never gathered in one task. No
-pair leaves a task. Typical members are those with the largest sum of cosines to the records
-similar to them, which in a mutually similar cluster is the order by mean cosine to the others.
+2. Every vector goes to the cells of its NEAR nearest pivots, so that cells overlap.
+3. Every cell compares all its vectors, blockwise, on the full vectors. A pair counts in the
+   smallest cell that both share: each vector gets its number of similar others and the sum
+   of their cosines. The cell's local clusters come out as (record, smallest record).
+4. Local clusters are merged through the core points they share: labels that meet at a record
+   are linked, and the distributed grouping of ``groups`` connects the labels.
+
+Similar vectors differ little along any one axis of many, so that their lists of nearest
+pivots nearly always share one; the tests and the README give the measured loss. (Margins that
+lose nothing at all reach over nearly all cells in a space of many independent axes.)
+
+Large cells are split into blocks, one task per pair of blocks, so that a cell with a third
+of all rows is never gathered in one task. No pair leaves a task. Typical members are those
+with the largest sum of cosines to the records similar to them, which in a mutually similar
+cluster is the order by mean cosine to the others.
 """
 
 from __future__ import annotations
@@ -37,11 +35,12 @@ from leafspark.llm.groups import connected_groups
 from leafspark.llm.vectors import matrix
 from leafspark.session import cut
 
-#: Rows of the fitted sample, reduced axes, vectors per cell aimed at, and the most cells.
-SAMPLE, AXES, CELL, MOST_CELLS = 12_000, 32, 4_000, 256
-MARGIN = 0.25
-#: Home vectors and vectors of a task.
-HOME_BLOCK, ALL_BLOCK = 12_000, 60_000
+#: Rows of the fitted sample, reduced axes, vectors per pivot aimed at, and the most pivots.
+SAMPLE, AXES, CELL, MOST_CELLS = 12_000, 32, 2_000, 256
+#: Cells of a vector.
+NEAR = 3
+#: Vectors of a block; a task holds two.
+BLOCK = 16_000
 
 
 def sample_matrix(rows: DataFrame, key: str, vec: str, width: int, size: int, total: int) -> np.ndarray:
@@ -68,67 +67,66 @@ def fit_cells(x: np.ndarray, n_cells: int, axes: int = AXES, rounds: int = 6) ->
     return proj, pivots
 
 
-def place(x: np.ndarray, proj: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, is home) for the home of every row and each cell that it is a guest of."""
-    y = x @ proj.T
-    d = (y**2).sum(1)[:, None] - 2 * y @ pivots.T + (pivots**2).sum(1)
-    home = d.argmin(1)
-    apart = np.sqrt(np.maximum(0, (pivots**2).sum(1)[:, None] - 2 * pivots @ pivots.T + (pivots**2).sum(1)))
-    gap = (d - d[np.arange(len(d)), home][:, None]) / (2 * np.maximum(apart[home], 1e-12))
-    row, cell = np.nonzero((gap <= margin) | (np.arange(len(pivots)) == home[:, None]))
-    return row, cell, cell == home[row]
+def place(x: np.ndarray, proj: np.ndarray, pivots: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """(rows x near) cells of the nearest pivots, sorted."""
+    d = (pivots**2).sum(1) - 2 * (x @ proj.T) @ pivots.T
+    k = min(near, len(pivots))
+    return np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
 
 
-def local_clusters(x: np.ndarray, queries: np.ndarray, members: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(similar others, sum of their cosines, local root) of every row; only `queries` are compared, with `members`.
+def local_clusters(x: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float, cells: np.ndarray | None = None, cell: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similar others, sum of their cosines, local root) of every row; rows `left` are compared with rows `right`.
 
-    Products are of float32 where the outcome is clear, of float64 near the bound.
+    left and right are the same rows or have none in common; each pair is met once. Products
+    are of float32 where the outcome is clear, of float64 near the bound. With cells given,
+    a pair that shares a smaller cell than this one is left to that one's count.
     """
-    n = len(x)
+    n, same = len(x), left is right or np.array_equal(left, right)
     low = x.astype(np.float32)
-    m = low[members]
-    where = np.full(n, -1)
-    where[members] = np.arange(len(members))
     degree, total, root = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
-
-    def find_all() -> None:
-        nonlocal root
-        while not np.array_equal(up := root[root], root):
-            root = up
-
-    step = max(1, min(1024, 24_000_000 // max(1, len(members))))
-    for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        s = low[q] @ m.T
-        mine = np.flatnonzero(where[q] >= 0)
-        s[mine, where[q[mine]]] = -2
+    step = 1024
+    for at in range(0, len(left), step):
+        q = left[at : at + step]
+        m = right[at:] if same else right
+        s = low[q] @ low[m].T
+        if same:
+            s[:, : len(q)][np.tri(len(q), dtype=bool)] = -2
         a, b = np.nonzero(s >= cosine - 1e-5)
         v = s[a, b].astype(np.float64)
-        near = np.flatnonzero(v < cosine + 1e-5)
-        if len(near):
-            v[near] = np.einsum("ij,ij->i", x[q[a[near]]], x[members[b[near]]])
+        close = np.flatnonzero(v < cosine + 1e-5)
+        if len(close):
+            v[close] = np.einsum("ij,ij->i", x[q[a[close]]], x[m[b[close]]])
             keep = v >= cosine - 1e-12
             a, b, v = a[keep], b[keep], v[keep]
         if not len(a):
             continue
-        degree[q] += np.bincount(a, minlength=len(q))
-        total[q] += np.bincount(a, weights=v, minlength=len(q))
-        ga, gb = q[a], members[b]
+        ga, gb = q[a], m[b]
+        for lo in range(0, len(a), 1_000_000):
+            i, j, w = ga[lo : lo + 1_000_000], gb[lo : lo + 1_000_000], v[lo : lo + 1_000_000]
+            if cells is not None:
+                ci, cj = cells[i], cells[j]
+                earlier = np.zeros(len(i), bool)
+                for k in range(cells.shape[1]):
+                    earlier |= ((ci[:, k : k + 1] == cj) & (cj < cell)).any(axis=1)
+                i, j, w = i[~earlier], j[~earlier], w[~earlier]
+            degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            total += np.bincount(i, weights=w, minlength=n) + np.bincount(j, weights=w, minlength=n)
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        spread = np.diff(np.r_[first, len(a)])
         while True:
             ra, rb = root[ga], root[gb]
-            low_root = np.minimum(np.minimum.reduceat(rb, first), ra[first])
             if (ra == rb).all():
                 break
-            # every row's root, and the roots of all its similar rows, hang under the smallest of them
-            spread = np.repeat(low_root, np.diff(np.r_[first, len(a)]))
-            np.minimum.at(root, ra, spread)
-            np.minimum.at(root, rb, spread)
-            find_all()
+            # the root of a row and the roots of all its similar rows hang under the smallest of them
+            least = np.repeat(np.minimum(np.minimum.reduceat(rb, first), ra[first]), spread)
+            np.minimum.at(root, ra, least)
+            np.minimum.at(root, rb, least)
+            while not np.array_equal(up := root[root], root):
+                root = up
     return degree, total, root
 
 
-def density_clusters(rows: DataFrame, key: str = "chunk_id", vec: str = "embedding", width: int = 64, cosine: float = 0.85, margin: float = MARGIN) -> DataFrame:
+def density_clusters(rows: DataFrame, key: str = "chunk_id", vec: str = "embedding", width: int = 64, cosine: float = 0.85) -> DataFrame:
     """(record, cluster, degree, weight) of every record with at least one similar other.
 
     cluster is the smallest record of the cluster; degree the number of records similar to
@@ -137,62 +135,56 @@ def density_clusters(rows: DataFrame, key: str = "chunk_id", vec: str = "embeddi
     """
     base = rows.where(F.col(key).isNotNull() & (F.size(vec) == width)).select(F.col(key).cast("string").alias("id"), F.col(vec).cast("array<float>").alias("v"))
     total = base.count()
-    empty = base.sparkSession.createDataFrame([], "record string, cluster string, degree bigint, weight double")
     x = sample_matrix(base, "id", "v", width, SAMPLE, total) if total else np.zeros((0, width))
     if not len(x):
-        return empty
+        return base.sparkSession.createDataFrame([], "record string, cluster string, degree bigint, weight double")
     proj, pivots = fit_cells(x, max(1, min(MOST_CELLS, math.ceil(total / CELL))))
     # how many blocks a cell needs is estimated from the sample; it only decides which tasks do the work
-    _, cell, home = place(x, proj, pivots, margin)
-    scale = total / len(x)
-    home_blocks = np.maximum(1, np.ceil(np.bincount(cell[home], minlength=len(pivots)) * scale / HOME_BLOCK)).astype(int)
-    all_blocks = np.maximum(1, np.ceil(np.bincount(cell, minlength=len(pivots)) * scale / ALL_BLOCK)).astype(int)
-    offset = np.r_[0, np.cumsum(home_blocks * all_blocks)]
+    blocks = np.maximum(1, np.ceil(np.bincount(place(x, proj, pivots).ravel(), minlength=len(pivots)) * (total / len(x)) / BLOCK)).astype(int)
+    offset = np.r_[0, np.cumsum(blocks * blocks)]
+    task_cell = np.repeat(np.arange(len(pivots)), blocks * blocks)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             use, unit = matrix(b.column(1), width)
             if not len(use):
                 continue
-            row, c, is_home = place(unit, proj, pivots, margin)
+            cells = place(unit, proj, pivots)
             ids = b.column(0).take(pa.array(use))
             h = np.array([hash_id(i) for i in ids.to_pylist()], np.int64)
-            hb, ab = h[row] % home_blocks[c], (h[row] // 7919) % all_blocks[c]
-            tasks = home_blocks[c] * all_blocks[c]
-            r = np.repeat(np.arange(len(row)), tasks)
-            t = np.arange(len(r)) - np.repeat(np.cumsum(tasks) - tasks, tasks)
-            th, ta = t // all_blocks[c[r]], t % all_blocks[c[r]]
-            is_query, is_member = is_home[r] & (th == hb[r]), ta == ab[r]
-            keep = is_query | is_member
-            r, t, is_query, is_member = r[keep], t[keep], is_query[keep], is_member[keep]
-            copies = np.bincount(row[r], minlength=len(use))
-            vectors = b.column(1).take(pa.array(use[row[r]]))
+            row, cell = np.repeat(np.arange(len(use)), cells.shape[1]), cells.ravel()
+            own, n = h[row] % blocks[cell], blocks[cell]
+            # block i of a cell meets block j >= i in task i * n + j
+            r = np.repeat(np.arange(len(row)), n)
+            other = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = np.minimum(own[r], other), np.maximum(own[r], other)
+            flat = row[r]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(offset[c[r]] + t, pa.int32()), ids.take(pa.array(row[r])), vectors, pa.array(is_query.astype(np.int8) + 2 * is_member.astype(np.int8), pa.int8()), pa.array(np.minimum(2, copies[row[r]]).astype(np.int8))],
-                names=["task", "id", "v", "role", "copies"],
+                [pa.array(offset[cell[r]] + i * n[r] + j, pa.int32()), ids.take(pa.array(flat)), b.column(1).take(pa.array(use[flat])), pa.array((own[r] == j).astype(np.int8) - (i == j) * 2 * (own[r] == j).astype(np.int8), pa.int8())],
+                names=["task", "id", "v", "side"],
             )
 
     def solve(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id").to_pylist(), object)
-        _, keep = np.unique(ids.astype(str), return_index=True)  # records sent twice; ids are in order from here on
-        table, ids = table.take(pa.array(keep)), ids[keep]
+        ids, keep = np.unique(ids.astype(str), return_index=True)  # records sent twice; ids are in order from here on
+        cell = int(task_cell[table.column("task")[0].as_py()])
+        table = table.take(pa.array(keep))
         _, unit = matrix(table.column("v"), width)
-        role, copies = table.column("role").to_numpy(), table.column("copies").to_numpy()
-        queries, members = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        degree, weight, root = local_clusters(unit, queries, members, cosine)
-        size = np.bincount(root, minlength=len(ids))
-        shared = np.zeros(len(ids), bool)
-        np.logical_or.at(shared, root, copies > 1)
-        out = np.flatnonzero(size[root] > 1)
-        return pa.table({"record": pa.array(ids[out].tolist(), pa.string()), "local": pa.array(ids[root[out]].tolist(), pa.string()), "degree": pa.array(degree[out]), "weight": pa.array(weight[out]), "open": pa.array(shared[root[out]])})
-
-    placed = base.mapInArrow(spread, "task int, id string, v array<float>, role tinyint, copies tinyint")
-    parts = cut(placed.groupBy("task").applyInArrow(solve, "record string, local string, degree bigint, weight double, open boolean"))
-    final = parts.where("not open").select("record", F.col("local").alias("cluster"), "degree", "weight")
-    loose = parts.where("open")
-    merged = connected_groups(loose.select(F.least("record", "local").alias("u"), F.greatest("record", "local").alias("v")))
-    sums = loose.groupBy("record").agg(F.sum("degree").alias("degree"), F.sum("weight").alias("weight"))
-    return final.union(sums.join(merged, F.col("record") == F.col("x")).select("record", F.col("group").alias("cluster"), "degree", "weight"))
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
+        if (side == -1).any():
+            left = right = np.flatnonzero(side == -1)
+        degree, weight, root = local_clusters(unit, left, right, cosine, place(unit, proj, pivots), cell)
+        out = np.flatnonzero(np.bincount(root, minlength=len(ids))[root] > 1)
+        return pa.table({"record": pa.array(ids[out].tolist(), pa.string()), "local": pa.array(ids[root[out]].tolist(), pa.string()), "degree": pa.array(degree[out]), "weight": pa.array(weight[out])})
+
+    placed = base.mapInArrow(spread, "task int, id string, v array<float>, side tinyint")
+    parts = placed.groupBy("task").applyInArrow(solve, "record string, local string, degree bigint, weight double")
+    found = cut(parts.groupBy("record").agg(F.sum("degree").alias("degree"), F.sum("weight").alias("weight"), F.min("local").alias("label"), F.collect_set("local").alias("labels")))
+    # at most NEAR labels (times blocks) meet at a record; the label pairs are far fewer than the records
+    met = found.select("label", F.explode("labels").alias("other")).where("label <> other").distinct()
+    merged = connected_groups(met.select(F.col("label").alias("u"), F.col("other").alias("v")))
+    return found.join(merged, F.col("label") == F.col("x"), "left").select("record", F.coalesce("group", "label").alias("cluster"), "degree", "weight")
 
 
 def hash_id(text: str) -> int:

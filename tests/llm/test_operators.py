@@ -84,8 +84,7 @@ def blobs(n, d, sizes, seed=0):
 
 def test_clusters_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(clusters, "CELL", 60)
-    monkeypatch.setattr(clusters, "HOME_BLOCK", 40)
-    monkeypatch.setattr(clusters, "ALL_BLOCK", 50)
+    monkeypatch.setattr(clusters, "BLOCK", 50)
     x = blobs(200, 64, [2, 3, 5, 80, 2, 4] * 2)
     rows = [(f"{i:04d}", [float(y) * (1 + i % 3) for y in v], "x") for i, v in enumerate(x)]
     bad = [("n1", None, "x"), ("n2", [0.0] * 64, "x"), ("n3", [float("nan")] * 64, "x"), ("n4", [1.0] * 3, "x"), (None, [1.0] * 64, "x")]
