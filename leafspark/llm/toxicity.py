@@ -58,9 +58,11 @@ SQUEEZED = {re.sub(r"(.)\1+", r"\1", t): t for t in CLASSES}
 MASKED = {f"{t[:i]}\0{t[i + 1 :]}": t for t in CLASSES if len(t) > 2 for i in range(len(t))}
 VOTERS = {c: ["term", "disguised", "alone", *(n for k, n, _, _ in PATTERNS if k == c), "quoted", "annotated"] for c in CATEGORIES}
 _PATTERNS = [(c, n, v, re.compile(p)) for c, n, v, p in PATTERNS]
-_POSITIVE = re.compile("|".join(f"(?:{p})" for _, _, v, p in PATTERNS if v > 0))
 _YOU = re.compile(SECOND_PERSON)
-_SIGN = re.compile(r"[^\W\d_][@#*$_.\-\d][^\W_\s]|\d[^\W\d_]|(?<!\S)[^\W\d_] [^\W\d_](?!\w)|[가-힣] [가-힣](?![가-힣])")
+# each starts with a character or a set, so that the scan runs to the next one before it tries to match
+_SIGN = re.compile(r"[@#*$_.\-\d](?:(?<=[^\W\d_].)(?=[^\W_\s])|(?<=\d)(?=[^\W\d_]))")
+_SINGLE = re.compile(r" [^\W\d_] [^\W\d_](?!\w)")
+_SYLLABLE = re.compile(r"[가-힣] [가-힣](?![가-힣])")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú" + "".join(sorted({c for t in CLASSES for c in t if "가" <= c <= "힣"}))
 
 
@@ -110,14 +112,21 @@ def runs():
 
 
 def hints():
-    """An automaton of the terms and of what the patterns for a category must hold: a sentence without a hit has no votes."""
+    """An automaton of the terms (-1) and of what each pattern for a category must hold (its place).
+
+    A sentence without a hit has no votes, and only the patterns that were hit need a search.
+    """
     global _HINTS
     if _HINTS is None:
         import ahocorasick
 
         _HINTS = ahocorasick.Automaton()
-        for x in {*CLASSES, *literals(_POSITIVE.pattern)}:
-            _HINTS.add_word(x, x)
+        held: dict[str, set[int]] = {t: {-1} for t in CLASSES}
+        for i, (_, _, sign, p) in enumerate(_PATTERNS):
+            for x in literals(p.pattern) if sign > 0 else ():
+                held.setdefault(x, set()).add(i)
+        for x, places in held.items():
+            _HINTS.add_word(x, tuple(places))
         _HINTS.make_automaton()
     return _HINTS
 
@@ -137,7 +146,11 @@ def signs():
 
 def odd(s: str) -> bool:
     """Whether a lower-case sentence may hold a disguised term."""
-    return _SIGN.search(s) is not None or next(runs().iter(s), None) is not None
+    return _marked(s) or next(runs().iter(s), None) is not None
+
+
+def _marked(s: str) -> bool:
+    return _SIGN.search(s) is not None or _SINGLE.search(s) is not None or (s[1:2] == " " and _SINGLE.match(f" {s[:4]}") is not None) or (not s.isascii() and _SYLLABLE.search(s) is not None)
 
 
 def term(token: str) -> str | None:
@@ -203,24 +216,25 @@ def sentences(text: str) -> list[str]:
 
 def votes(s: str) -> tuple[dict[str, list[int]], list[str] | None, str]:
     """(votes per category without the annotators', words or None if they weren't needed, the unmasked sentence) of a lower-case sentence."""
-    if _SIGN.search(s) is None and next(signs().iter(s), None) is None:
+    if not _marked(s) and next(signs().iter(s), None) is None:
         return {}, None, s
     full, hidden = unmask(s)
-    if not hidden and next(hints().iter(full), None) is None:
+    hit = {i for _, places in hints().iter(full) for i in places}
+    if not hit:
         return {}, None, full
     bare = QUOTED.sub(" ", full) if "'" in full or '"' in full or "«" in full or "“" in full or "„" in full or "‘" in full else full
     tokens = TOKEN.findall(bare)
     named = {c: False for c in CATEGORIES}
-    for t in tokens:
-        if hit := term(t):
-            for c in CLASSES[hit]:
+    for t in tokens if -1 in hit else ():
+        if name := term(t):
+            for c in CLASSES[name]:
                 named[c] = True
-    speaks = any(named.values()) or _POSITIVE.search(bare)
+    speaks = any(named.values()) or any(i >= 0 and _PATTERNS[i][3].search(bare) for i in hit)
     quoted = {c: False for c in CATEGORIES}
     if bare is not full and len(bare) != len(full):
         for t in TOKEN.findall(full):
-            if hit := term(t):
-                for c in CLASSES[hit]:
+            if name := term(t):
+                for c in CLASSES[name]:
                     quoted[c] |= not named[c]
     if not speaks and not any(quoted.values()):
         return {}, tokens, bare
