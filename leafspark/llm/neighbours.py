@@ -26,8 +26,8 @@ from leafspark.llm.vectors import matrix
 #: Rows of the fitted sample of a collection, vectors per part aimed at, the most parts.
 SAMPLE, PART, MOST_PARTS = 10_000, 512, 256
 PROBES = 6
-#: For neighbours at any distance, of which near copies are few, more parts are searched.
-WIDE_PROBES = 12
+#: For neighbours at any distance, of which few are near copies, this share of the parts is searched.
+WIDE_SHARE = 0.2
 INDEX_BLOCK, QUERY_BLOCK = 30_000, 30_000
 
 
@@ -139,12 +139,13 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None, k: int = 5, least: float = -1.0, is_query: F.Column | None = None, probes: int = PROBES) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None, k: int = 5, least: float = -1.0, is_query: F.Column | None = None, probes: int | float = PROBES) -> DataFrame:
     """(collection, id, neighbour, cosine, rank): the k nearest others of every query among all rows of its collection.
 
     collection names the column of vectors that compare; None: all do. Usable vectors have
     the width most frequent in their collection, are finite and not all zero; others and null
-    keys are left out. is_query marks the queries, by default all rows. Neighbours under the
+    keys are left out. is_query marks the queries, by default all rows. probes is the number of parts searched for
+    a query, or as a float their share of all parts (PROBES at least). Neighbours under the
     cosine `least` are dropped; ties go to the smaller id. A key sent twice counts once. The
     collections are counted and fitted one by one on the driver, each on at most 2 x SAMPLE rows.
     """
@@ -162,10 +163,11 @@ def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None,
         w, b = fit_router(x, r["n"])
         scale = r["n"] / len(x)
         z = x @ w.T + b
-        near = np.argsort(-z, axis=1)[:, :probes]
+        p = min(len(w), probes if isinstance(probes, int) else max(PROBES, math.ceil(probes * len(w))))
+        near = np.argsort(-z, axis=1)[:, :p]
         ib = np.maximum(1, np.ceil(np.bincount(near[:, 0], minlength=len(w)) * scale / INDEX_BLOCK)).astype(int)
         qb = np.maximum(1, np.ceil(np.bincount(near.ravel(), minlength=len(w)) * scale / QUERY_BLOCK)).astype(int)
-        routers[r["c"]] = (r["width"], w.astype(np.float32), b, ib, qb, first + np.r_[0, np.cumsum(ib * qb)])
+        routers[r["c"]] = (r["width"], w.astype(np.float32), b, p, ib, qb, first + np.r_[0, np.cumsum(ib * qb)])
         first += int((ib * qb).sum())
     schema = "c string, id string, neighbour string, cosine double"
     if not routers:
@@ -175,13 +177,12 @@ def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None,
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             for c in set(names.tolist()) & routers.keys():
-                width, w, bias, ib, qb, offset = routers[c]
+                width, w, bias, p, ib, qb, offset = routers[c]
                 b = batch.take(pa.array(np.flatnonzero(names == c)))
                 use, unit = matrix(b.column(2), width)
                 if not len(use):
                     continue
                 z = unit @ w.T + bias
-                p = min(probes, len(w))
                 near = np.argpartition(-z, p - 1, axis=1)[:, :p]
                 top = z.argmax(1)
                 asks = b.column(3).to_numpy(zero_copy_only=False)[use].astype(bool)

@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Queries: the chunks of documents whose id is divisible by 50, against all chunks."""
-    n = neighbours.nearest(_t(spark, d, "chunks"), "chunk_id", "embedding", k=5, is_query=F.expr("doc_id % 50 = 0"), probes=neighbours.WIDE_PROBES)
+    n = neighbours.nearest(_t(spark, d, "chunks"), "chunk_id", "embedding", k=5, is_query=F.expr("doc_id % 50 = 0"), probes=neighbours.WIDE_SHARE)
     return n.select(F.col("id").alias("chunk_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
