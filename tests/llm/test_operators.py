@@ -101,6 +101,16 @@ def test_clusters_agree_with_brute_force(spark, monkeypatch):
     assert all(len(r.typical) == min(3, r.size) and (r.mutual == (r.n_links == r.size * (r.size - 1) // 2)) for r in d)
 
 
+def test_clusters_keep_pairs_of_a_group_that_many_pivots_split(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL", 10)
+    rng = np.random.default_rng(3)
+    x = unit(np.concatenate([unit(rng.standard_normal((1, 64))) * 8 + 0.36 * rng.standard_normal((600, 64)), rng.standard_normal((1200, 64))])).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
+    s = unit(x.astype(float))
+    degree = (s @ s.T >= 0.85).sum(axis=1) - 1
+    assert {r.record: r.degree for r in clusters.density_clusters(df).collect()} == {f"{i:04d}": n for i, n in enumerate(degree.tolist()) if n}
+
+
 def test_clusters_of_nothing(spark):
     assert clusters.density_clusters(spark.createDataFrame([], "chunk_id string, embedding array<float>")).count() == 0
     assert clusters.density_clusters(spark.createDataFrame([("a", [0.0] * 64)], "chunk_id string, embedding array<float>")).count() == 0
