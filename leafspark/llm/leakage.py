@@ -15,7 +15,8 @@ Latent semantic retrieval with exact checks:
    so the search cannot miss one.
 5. Candidates are checked: equal runs of RUN words, or, for paraphrases, the longest common
    subsequence of the item passage and the document's words around the window, together with
-   the item's answer words (numbers and rare words), of which a paraphrase keeps most.
+   the item's answer words (numbers and rare words), of which a paraphrase keeps most. The
+   latter goes over every window and passage from the cosine NEAR on, whatever the bound is.
 
 The items are the stated query set. They are taken in blocks of ITEM_BLOCK items, so what the
 driver holds and each task gets is bounded; documents are only ever streamed through tasks.
@@ -155,6 +156,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
     """item -> (kind, longest equal run, cosine) for the items of which a document, given as vocabulary ids (-1: other words), holds a passage."""
     found: dict[int, tuple[str, int, float]] = {}
+    there: set[int] = set()
     known = ids >= 0
     run = np.concatenate([[0], np.cumsum(known)])
     enough = np.flatnonzero(run[RUN:] - run[:-RUN] >= LEAST_KNOWN)
@@ -169,9 +171,21 @@ def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
         w = windows(block.latent[part])[starts]
         for lo in range(0, len(w), 2048):
             s = w[lo : lo + 2048] @ block.passages.T
-            row, passage = np.nonzero(s >= block.bound)
+            row, passage = np.divmod(np.flatnonzero(s >= min(block.bound, NEAR)), s.shape[1])
             if not len(row):
                 continue
+            cosine = s[row, passage]
+            near = np.flatnonzero(cosine >= NEAR)
+            # only passages whose answers the document holds at all
+            there = there or set(ids.tolist())
+            asked = np.zeros(s.shape[1], bool)
+            asked[passage[near]] = True
+            for p in np.flatnonzero(asked).tolist():
+                answers = block.answers[p]
+                asked[p] = bool(answers) and len(answers & there) >= ANSWER_SHARE * len(answers)
+            near = near[asked[passage[near]]]
+            near = near[np.argsort(passage[near], kind="stable")]
+            row, passage, at_near, p_near = row[cosine >= block.bound], passage[cosine >= block.bound], at + starts[lo + row[near]], passage[near]
             whole = run[at + starts[lo + row] + RUN] - run[at + starts[lo + row]] == RUN
             grams: dict[int, bytes] = {}
             for r, p in zip(row[whole].tolist(), passage[whole].tolist()):
@@ -182,22 +196,41 @@ def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
                     n = _longest(ids, at + starts[lo + r], block, i)
                     if i not in found or found[i][0] != "verbatim" or found[i][1] < n:
                         found[i] = ("verbatim", n, float(s[r, p]))
-            best = {}
-            top = s.argmax(axis=0)
-            high = s[top, np.arange(s.shape[1])]
-            for p in np.flatnonzero(high >= NEAR).tolist():
+            first = np.flatnonzero(np.diff(p_near, prepend=-1))
+            for k, end_k in zip(first.tolist(), [*first[1:].tolist(), len(near)]):
+                p = int(p_near[k])
                 i = int(block.owner[p])
-                if (i not in found or found[i][0] != "verbatim") and high[p] > best.get(i, (0,))[0]:
-                    best[i] = (float(high[p]), int(top[p]), p)
-            for i, (c, r, p) in best.items():
-                a = max(0, at + starts[lo + r] - PASSAGE // 2)
-                around, item = ids[a : a + 2 * PASSAGE].tolist(), block.spans[p].tolist()
-                answers = block.answers[p]
-                if answers and len(answers & set(around)) >= ANSWER_SHARE * len(answers) and common_subsequence(item, around) >= COMMON_SHARE * len(item) and c > (found.get(i) or ("", 0, 0))[2]:
-                    found[i] = ("paraphrase", 0, c)
+                if i not in found or found[i][0] != "verbatim":
+                    c = _paraphrase(ids, at_near[k:end_k], cosine[near[k:end_k]], block, p, found[i][2] if i in found else 0.0)
+                    if c:
+                        found[i] = ("paraphrase", 0, c)
     return found
 
 
+def _paraphrase(ids: np.ndarray, at: np.ndarray, cosine: np.ndarray, block: _Items, p: int, least: float) -> float:
+    """The highest cosine over `least` of the windows, starting at words `at`, whose surroundings hold the passage; 0 for none.
+
+    Only the passage's own words count, in the common subsequence and as answers: windows with
+    the same of these around them are one, and windows with too few of them are none.
+    """
+    item, answers = block.spans[p], block.answers[p]
+    own = np.zeros(len(block.latent), bool)
+    own[item] = True
+    a = np.maximum(0, at - PASSAGE // 2)
+    place = a.min() + np.flatnonzero(own[ids[a.min() : a.max() + 2 * PASSAGE]])
+    i, j = np.searchsorted(place, a), np.searchsorted(place, a + 2 * PASSAGE)
+    left = np.flatnonzero((j - i >= COMMON_SHARE * len(item)) & (cosine > least))
+    tried = set()
+    for k in left[np.argsort(-cosine[left], kind="stable")].tolist():
+        if (i[k], j[k]) in tried:
+            continue
+        tried.add((i[k], j[k]))
+        around = ids[place[i[k] : j[k]]].tolist()
+        if len(answers & set(around)) >= ANSWER_SHARE * len(answers) and common_subsequence(item.tolist(), around) >= COMMON_SHARE * len(item):
+            return float(cosine[k])
+    return 0.0
+
+
 def _longest(ids: np.ndarray, at: int, block: _Items, item: int) -> int:
     """Length of the equal run that the window at a document's word starts."""
     n = RUN

@@ -244,6 +244,20 @@ def test_paraphrase_needs_the_answer(spark):
     assert got.get(1) == "paraphrase" and 2 not in got
 
 
+def test_paraphrase_behind_a_closer_window_and_under_the_verbatim_bound(spark):
+    item = "In the town of Belford the clerk Mirwyck sealed 844 copper jars beside the old mill during the winter of 1745 and went home"
+    near = item.replace("the old mill", "an old mill").replace("sealed", "closed").replace("the clerk", "a clerk")
+    decoy = "1745 winter during mill beside jars copper 844 sealed Mirwyck clerk Belford"
+    fill = [(10 + i, f"some other text of the town and the mill number {i} with many more words in it to count") for i in range(30)]
+    docs = spark.createDataFrame([(1, f"{decoy} {'of the and in ' * 20} {near}"), (2, decoy), *fill], "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in leakage.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got.get(1) == "paraphrase" and 2 not in got
+    block = leakage._Items([(7, item)], spark, docs)
+    block.bound = 1.1
+    ids = np.array([block.vocabulary.get(w, -1) for w in leakage.words(near)], np.int32)
+    assert leakage.search(ids, block)[0][0] == "paraphrase"
+
+
 def test_common_subsequence():
     assert leakage.common_subsequence([1, 2, 3, 4], [2, 9, 3, 4, 1]) == 3 and leakage.common_subsequence([], [1]) == 0
 
