@@ -1,9 +1,9 @@
 """Reordering the chunks of a document by similarity, and putting documents together again.
 
 The two orders are inherently sequential within a document, so they run as Arrow grouped
-maps, one document a task at a time; documents run in parallel. A document's matrix takes
-n x n numbers, so max_items bounds it: larger documents are reported by `too_large` and keep
-their order, which the caller decides by pre-clustering.
+maps, one document a task at a time; documents run in parallel. Similarities are computed a
+row at a time where they are needed, so that a document of n items takes n x d numbers and
+time in proportion to n x n x d. Only for clusters of up to max_items items is there a matrix.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from leafspark.functions.vectors import cosine, usable
 STRATEGIES = ("sequential", "cluster")
 
 
-def chain(s: np.ndarray) -> list[int]:
-    """Start at 0; go on to the most similar item not visited yet, of equal ones the first."""
-    n, order = len(s), [0]
+def chain(x: np.ndarray) -> list[int]:
+    """Start at 0; go on to the most similar item (of unit vectors) not visited yet, of equal ones the first."""
+    n, order = len(x), [0]
     left = np.ones(n, bool)
     left[0] = False
     for _ in range(n - 1):
-        row = np.where(left, s[order[-1]], -np.inf)
+        # einsum sums every row alike, so that equal items are equally similar
+        row = np.where(left, np.einsum("ij,j->i", x, x[order[-1]]), -np.inf)
         order.append(int(row.argmax()))
         left[order[-1]] = False
     return order
@@ -47,6 +48,37 @@ def average_linkage(d: np.ndarray, k: int) -> list[int]:
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
+    return _flat(n, merges, k)
+
+
+def average_linkage_of_vectors(x: np.ndarray, k: int) -> list[int]:
+    """As average_linkage of the clipped 1 - x @ x.T, for unit vectors, in n x d memory.
+
+    The mean similarity of two clusters is the product of their mean vectors. Merges are found
+    along chains of nearest neighbours, which for average linkage gives the same tree.
+    """
+    n = len(x)
+    mean, size, alive, merges, path = x.astype(float).copy(), np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        path = path or [int(alive.argmax())]
+        i = path[-1]
+        d = np.where(alive, np.clip(1 - np.einsum("ij,j->i", mean, mean[i]), 0, 2), np.inf)
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(path) < 2 or d[path[-2]] > d[j]:
+            path.append(j)
+            continue
+        a, b = sorted(path[-2:])
+        del path[-2:]
+        merges.append((d[j], a, b))
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        alive[b] = False
+    return _flat(n, merges, k)
+
+
+def _flat(n: int, merges: list[tuple], k: int) -> list[int]:
+    """Clusters, at most k, from the merges (height, item, item)."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -82,29 +114,30 @@ def cluster_order(s: np.ndarray) -> list[int]:
     return sorted(range(n), key=lambda i: (label[i], i))
 
 
+def cluster_order_of_vectors(x: np.ndarray) -> list[int]:
+    """As cluster_order of x @ x.T, without that matrix."""
+    label = average_linkage_of_vectors(x, cluster_count(len(x)))
+    return sorted(range(len(x)), key=lambda i: (label[i], i))
+
+
 def reorder(chunks: DataFrame, block: str, item: str, strategy: str = "sequential", vec: str = "embedding", max_items: int = 5_000) -> DataFrame:
     """(block, item, new_position): a permutation of each block's usable items; item is the order to start from.
 
-    Blocks without usable vectors give no row; blocks over max_items keep their order.
+    Blocks without usable vectors give no row; blocks over max_items are clustered without a matrix.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
-    order = chain if strategy == "sequential" else cluster_order
     kinds = dict(chunks.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item", kind="stable")
         x = np.stack(rows["v"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        o = order(x @ x.T) if len(rows) else []
+        o = chain(x) if strategy == "sequential" else cluster_order(x @ x.T) if len(x) <= max_items else cluster_order_of_vectors(x)
         return pd.DataFrame({"block": rows["block"].to_numpy()[o], "item": rows["item"].to_numpy()[o], "new_position": np.arange(len(rows), dtype=np.int32)})
 
     base = chunks.where(usable(F.col(vec))).select(F.col(block).alias("block"), F.col(item).alias("item"), F.col(vec).alias("v"))
-    sizes = base.groupBy("block").agg(F.count("*").alias("n"))
-    small = base.join(sizes.where(F.col("n") <= max_items).select("block"), "block")
-    done = small.groupBy("block").applyInPandas(run, f"block {kinds[block]}, item {kinds[item]}, new_position int")
-    large = base.join(sizes.where(F.col("n") > max_items).select("block"), "block").select("block", "item", (F.row_number().over(Window.partitionBy("block").orderBy("item")) - 1).alias("new_position"))
-    return done.union(large)
+    return base.groupBy("block").applyInPandas(run, f"block {kinds[block]}, item {kinds[item]}, new_position int")
 
 
 def similarity_matrix(pairs: DataFrame) -> DataFrame:

@@ -160,6 +160,14 @@ def test_reorders_are_permutations(spark):
     assert len(set(reorder.average_linkage(np.random.default_rng(1).random((12, 12)), 4))) <= 4
 
 
+@pytest.mark.parametrize("strategy", reorder.STRATEGIES)
+def test_reorder_of_blocks_over_max_items(spark, strategy):
+    x = np.random.default_rng(2).standard_normal((80, 8))
+    c = vectors(spark, x.tolist())
+    got = {m: [r.item for r in reorder.reorder(c, "doc_id", "i", strategy, max_items=m).orderBy("new_position").collect()] for m in (10, 5_000)}
+    assert got[10] == got[5_000] and got[10] != list(range(80))
+
+
 def test_reconstruct_and_sections(spark):
     c = chunking.split(docs(spark, "# A\n\n## B\n\none\n\n## C\n\ntwo\n"))
     assert reorder.reconstruct(c, "original_position").first().text == "# A\n\n## B\n\none\n\n## C\n\ntwo\n"
