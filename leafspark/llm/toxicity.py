@@ -63,6 +63,7 @@ _YOU = re.compile(SECOND_PERSON)
 _SIGN = re.compile(r"[@#*$_.\-\d](?:(?<=[^\W\d_].)(?=[^\W_\s])|(?<=\d)(?=[^\W\d_]))")
 _SINGLE = re.compile(r" [^\W\d_] [^\W\d_](?!\w)")
 _SYLLABLE = re.compile(r"[가-힣] [가-힣](?![가-힣])")
+_DIGIT = re.compile(r"[가-힣][013457]")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú" + "".join(sorted({c for t in CLASSES for c in t if "가" <= c <= "힣"}))
 
 
@@ -99,7 +100,10 @@ _HINTS = _RUNS = _SIGNS = None
 
 
 def runs():
-    """An automaton of the letters three times in a row."""
+    """An automaton of the letters three times in a row, and of the masked terms whose sign is none to _SIGN.
+
+    These are a sign first or last, the rarer signs, and a digit last, also for a letter that makes a run.
+    """
     global _RUNS
     if _RUNS is None:
         import ahocorasick
@@ -107,6 +111,21 @@ def runs():
         _RUNS = ahocorasick.Automaton()
         for c in _LETTERS:
             _RUNS.add_word(3 * c, c)
+        for t in CLASSES:
+            for i in range(len(t)) if len(t) > 2 else ():
+                for x in "!%&+?" if 0 < i < len(t) - 1 else "@#*$_%&+":
+                    w = f"{t[:i]}{x}{t[i + 1 :]}"
+                    _RUNS.add_word(w, w)
+            for w in (f"{t[:-1]}!s", f"{t[:-1]}?s") if len(t) > 2 else ():
+                _RUNS.add_word(w, w)
+            for w in (t, f"{t}s"):
+                for digit, letter in LEET.items():
+                    if w[-1] == chr(letter):
+                        w = w[:-1] + chr(digit)
+                        _RUNS.add_word(w, w)
+        for digit, letter in LEET.items():
+            w = 2 * chr(letter) + chr(digit)
+            _RUNS.add_word(w, w)
         _RUNS.make_automaton()
     return _RUNS
 
@@ -132,7 +151,7 @@ def hints():
 
 
 def signs():
-    """An automaton of both the hints and the letters three times in a row."""
+    """An automaton of the hints and what is in that of the runs."""
     global _SIGNS
     if _SIGNS is None:
         import ahocorasick
@@ -150,7 +169,7 @@ def odd(s: str) -> bool:
 
 
 def _marked(s: str) -> bool:
-    return _SIGN.search(s) is not None or _SINGLE.search(s) is not None or (s[1:2] == " " and _SINGLE.match(f" {s[:4]}") is not None) or (not s.isascii() and _SYLLABLE.search(s) is not None)
+    return _SIGN.search(s) is not None or _SINGLE.search(s) is not None or (s[1:2] == " " and _SINGLE.match(f" {s[:4]}") is not None) or (not s.isascii() and (_SYLLABLE.search(s) is not None or _DIGIT.search(s) is not None))
 
 
 def term(token: str) -> str | None:
@@ -185,8 +204,11 @@ def _unmasked(token: str) -> str:
 
 def unmask(s: str) -> tuple[str, bool]:
     """(a lower-case sentence with disguised terms replaced by what they hide, whether there were any)."""
-    if not odd(s):
-        return s, False
+    return _unmask(s) if odd(s) else (s, False)
+
+
+def _unmask(s: str) -> tuple[str, bool]:
+    """As unmask, without the look for signs of a disguise before."""
     hidden = False
 
     def joined(m: re.Match) -> str:

@@ -291,6 +291,17 @@ def test_disguised_terms(word):
     assert v["abuse"][0] == 1
 
 
+def test_no_disguise_passes_the_filter():
+    assert all(toxicity.unmask(f"they are {x} to us")[1] for x in ("#rash", "subhuma_", "nud3"))
+    digits = str.maketrans("oieast", "013457")
+    tokens = {f"{t[:i]}{x}{t[i + 1 :]}{end}" for t in toxicity.CLASSES for i in range(len(t)) for x in ["@", "#", "*", "$", "_", "!", "%", "&", "+", "?", t[i].translate(digits)] for end in ("", "s")}
+    for token in tokens:
+        for s in (f"they are {token} to us", f"so ({token})."):
+            found = toxicity._unmask(s)
+            assert toxicity.unmask(s)[1] == found[1] and (not found[1] or toxicity.unmask(s) == found)
+    assert {"#rash", "subhuma_", "nud3"} <= tokens
+
+
 def test_quotes_and_contexts():
     assert toxicity.votes("the guide removes 'you are an idiot' from posts.")[0]["abuse"][0] == 0
     assert toxicity.votes("the index counts the rows.")[0] == {}
