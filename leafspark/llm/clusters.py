@@ -3,24 +3,27 @@
 Density clustering where two records are similar from a cosine on and a record with at least
 one similar other is a core point, so that a cluster is a connected set of similar records:
 
-1. A bounded sample fits a principal-axes reduction and pivots in the reduced space.
-2. Every vector goes to the cell of its nearest pivot, so that similar records mostly lie
-   together. Large cells are split, so that a cell with a third of all rows is never gathered
-   in one task. Each of these blocks becomes one packed row, written once.
-3. Every pair of blocks, and every block with itself, is one comparison of all their vectors
-   on the full vectors. No pair of records is left out, whatever the pivots are, and each is
-   met once: each vector gets its number of similar others and the sum of their cosines. The
-   comparison's local clusters come out as (record, smallest record).
-4. Local clusters are merged through the core points they share: labels that meet at a record
-   are linked, and the distributed grouping of ``groups`` connects the labels.
-
-So the comparisons grow with the square of the rows. At a cosine of 0.85 the bounds that lose
-nothing (distance to the plane between two pivots, radius of a cell) leave over 80 % of them
-in 64 axes, with 16 to 256 pivots, and want each vector in 7 to 100 cells.
-
-Typical members are those
-with the largest sum of cosines to the records similar to them, which in a mutually similar
-cluster is the order by mean cosine to the others.
+1. A bounded sample fits principal axes and the cells: balls of the similarity radius around
+   vectors with several similar others in the sample.
+2. Every vector belongs to the cell of its nearest pivot if it lies in that ball, else it is
+   open. By the triangle inequality for angles, a vector similar to a member of a cell lies
+   within twice the radius of the cell's pivot; these are the cell's margin. A member visits
+   the cells before its own whose margin holds it, an open vector all such cells, so that each
+   pair of which one is a member is compared once, and none is left out.
+3. Open vectors are compared with each other in blocks. In the reduced space of the leading
+   axes and the length of the rest, the product of two vectors bounds their cosine from above,
+   so that only pairs that reach the cosine there are compared in full.
+4. Each comparison gives its records their similar others and a local cluster; local clusters
+   are merged through the core points they share: labels that meet at a record are linked, and
+   the distributed grouping of ``groups`` connects the labels.
+
+Nothing is lost, whatever the sample. The work grows with the square of the open vectors,
+those without a dense surrounding, at under half a nanosecond a pair; cells stay near a
+multiple of their members. A cell or the open set is split into blocks, one task a pair of
+blocks, so that no task gathers a large one; equal vectors of a batch are one row with a count.
+
+The most typical members are those with the highest mean cosine to all members (medoids),
+found by one sum vector per cluster.
 """
 
 from __future__ import annotations
@@ -34,13 +37,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.llm.groups import connected_groups
-from leafspark.llm.vectors import fixed, matrix
+from leafspark.llm.vectors import binary_rows, matrix
 from leafspark.session import cut, release
 
-#: Rows of the fitted sample, reduced axes, vectors per pivot aimed at, and the most pivots.
-SAMPLE, AXES, CELL, MOST_CELLS = 12_000, 32, 12_000, 256
-#: Vectors of a block; a comparison holds two.
-BLOCK = 16_000
+#: Rows of the fitted sample (at most twice as many reach the driver), sample members that make a pivot, and the most pivots; what no pivot covers is open.
+SAMPLE, LEAST_MEMBERS, MOST_PIVOTS = 32_000, 4, 2_048
+#: Vectors of a block of a cell, the most of a block of open vectors, and the rows aimed at in a task of small cells.
+BLOCK, OPEN_BLOCK, BIN = 16_000, 100_000, 24_000
+#: Vectors of a clustered record that one task of the medoids gets for a cluster.
+MEDOID_ROWS = 50_000
+#: Rows and columns of a product, so that it stays in the processor's cache.
+TILE = (256, 512)
+#: A pivot's margin must leave this cosine at least, or cells would hold nearly all vectors.
+LEAST_MARGIN = 0.3
 
 
 def sample_matrix(rows: DataFrame, key: str, vec: str, width: int, size: int, total: int) -> np.ndarray:
@@ -51,136 +60,314 @@ def sample_matrix(rows: DataFrame, key: str, vec: str, width: int, size: int, to
     return matrix(table.column(0), width)[1]
 
 
-def fit_cells(x: np.ndarray, n_cells: int, axes: int = AXES, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(axes x width projection, pivots in the reduced space) by principal axes and Lloyd's iterations."""
+def fit_pivots(x: np.ndarray, cosine: float, least: int = LEAST_MEMBERS, most: int = MOST_PIVOTS) -> np.ndarray:
+    """Vectors of the sample, none within the similarity radius of another, with at least so many of the sample in theirs; most first."""
+    if 2 * cosine * cosine - 1 < LEAST_MARGIN:
+        return np.zeros((0, x.shape[1]), np.float32)
+    x = x.astype(np.float32)
+    lead, count = np.zeros((0, x.shape[1]), np.float32), np.zeros(0, np.int64)
+    for at in range(0, len(x), 500):
+        q = x[at : at + 500]
+        if len(lead):
+            s = q @ lead.T
+            own, near = s.argmax(axis=1), s.max(axis=1) >= cosine
+            count += np.bincount(own[near], minlength=len(lead))
+            q = q[~near]
+        s, left, new, n = q @ q.T >= cosine, np.ones(len(q), bool), [], []
+        for i in range(len(q)):
+            if left[i]:
+                mine = left & s[i]
+                mine[i] = True
+                new.append(i)
+                n.append(int(mine.sum()))
+                left &= ~mine
+        lead, count = np.vstack([lead, q[new]]), np.r_[count, np.array(n, np.int64)]
+    order = np.argsort(-count, kind="stable")
+    return lead[order[count[order] >= least][:most]]
+
+
+def fit_axes(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Leading principal axes (width x k), k by what a pair costs: its product in k axes, and in full if it reaches the cosine there."""
     _, _, vt = np.linalg.svd(x.T @ x)
-    proj = vt[: min(axes, x.shape[1])]
-    y = x @ proj.T
-    rng = np.random.default_rng(7)
-    pivots = y[rng.choice(len(y), min(n_cells, len(y)), replace=False)]
-    for _ in range(rounds):
-        own = ((pivots**2).sum(1) - 2 * y @ pivots.T).argmin(1)
-        sums = np.zeros_like(pivots)
-        np.add.at(sums, own, y)
-        n = np.bincount(own, minlength=len(pivots))
-        pivots = np.where(n[:, None] > 0, sums / np.maximum(1, n)[:, None], pivots)
-    return proj, pivots
-
+    a, b = (x[:1000], x[-1000:]) if len(x) >= 2000 else (x, x)
+    cost = {}
+    for k in sorted({*range(8, x.shape[1], 8), x.shape[1]}):
+        p = vt[:k].T
+        cost[k] = 0.1 + k / 80 + 70 * float((reduced(a, p) @ reduced(b, p).T >= cosine).mean())
+    return vt[: min(cost, key=cost.get)].T.astype(np.float32)
+
+
+def reduced(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the axes, and the length of what is left; the product of two bounds their cosine from above."""
+    y = x @ axes
+    rest = np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1)))
+    return np.column_stack([y, rest]).astype(np.float32)
+
+
+def place(x: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each row, len(pivots) for an open one; row and cell of each visit)."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(x) if len(pivots) else 0, 2000):
+        s = x[at : at + 2000].astype(np.float32) @ pivots.T
+        own = s.argmax(axis=1)
+        own = np.where(s[np.arange(len(s)), own] >= cosine, own, len(pivots))
+        row, cell = np.nonzero(s >= 2 * cosine * cosine - 1 - 1e-4)
+        ahead = cell < own[row]
+        out.append((own, at + row[ahead], cell[ahead]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(len(x), np.int64), none, none)
+
+
+class Links:
+    """Similar others, counted with their copies, and local clusters of the rows x (float32), by products of tiles."""
+
+    def __init__(self, x: np.ndarray, copies: np.ndarray, cosine: float, axes: np.ndarray | None = None) -> None:
+        self.raw, self.copies, self.cosine = x, copies.astype(np.float64), cosine
+        self.length = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+        self.x = (x / self.length[:, None]).astype(np.float32)
+        self.low = reduced(self.x, axes) if axes is not None and axes.shape[1] < x.shape[1] else None
+        self.degree, self.root = np.zeros(len(x)), np.arange(len(x))
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def _exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs near the bound reach it, in float64."""
+        a, b = self.raw[i].astype(np.float64), self.raw[j].astype(np.float64)
+        return np.einsum("ij,ij->i", a, b) / (self.length[i] * self.length[j]) >= self.cosine - 1e-12
+
+    def compare(self, left: np.ndarray, right: np.ndarray | None = None) -> None:
+        """Compare the rows left with the rows right, which have none in common, or with each other; each pair once."""
+        rows, cols = TILE
+        for at in range(0, len(left), rows):
+            q = left[at : at + rows]
+            others = right if right is not None else left[at:]
+            for to in range(0, len(others), cols):
+                m = others[to : to + cols]
+                if self.low is not None:
+                    hit = np.flatnonzero(self.low[q] @ self.low[m].T >= self.cosine - 1e-5)
+                    if 10 * len(hit) < len(q) * len(m):
+                        a, b = np.divmod(hit, len(m))
+                        if right is None and to < len(q):
+                            ahead = b + to > a
+                            a, b = a[ahead], b[ahead]
+                        s = np.einsum("ij,ij->i", self.x[q[a]], self.x[m[b]])
+                        keep, near = s >= self.cosine, np.flatnonzero(np.abs(s - self.cosine) < 1e-5)
+                        keep[near] = self._exact(q[a[near]], m[b[near]])
+                        self._join(q[a[keep]], m[b[keep]])
+                        continue
+                s = self.x[q] @ self.x[m].T
+                hit, near = s >= self.cosine, np.flatnonzero(np.abs(s - self.cosine) < 1e-5)
+                if len(near):
+                    a, b = np.divmod(near, len(m))
+                    hit[a, b] = self._exact(q[a], m[b])
+                if right is None and to < len(q):
+                    hit &= np.arange(to, to + len(m)) > np.arange(len(q))[:, None]
+                n = np.count_nonzero(hit)
+                if 20 * n < hit.size:
+                    a, b = np.nonzero(hit)
+                    self._join(q[a], m[b])
+                elif n:
+                    self._many(q, m, hit)
+        self._flush()
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.waiting.append((i, j))
+            self.n_waiting += len(i)
+            if self.n_waiting > 500_000:
+                self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            i, j = (np.concatenate(x) for x in zip(*self.waiting))
+            self.waiting, self.n_waiting = [], 0
+            self.degree += np.bincount(i, self.copies[j], len(self.x)) + np.bincount(j, self.copies[i], len(self.x))
+            self._union(i, j)
+
+    def _union(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
 
-def place(x: np.ndarray, proj: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Cells of the nearest pivots."""
-    return ((pivots**2).sum(1) - 2 * (x @ proj.T) @ pivots.T).argmin(1)
+    def _many(self, q: np.ndarray, m: np.ndarray, hit: np.ndarray) -> None:
+        """A tile with many similar pairs: counts are products, and only pairs with different roots are joined."""
+        f = hit.astype(np.float32)
+        self.degree[q] += f @ self.copies[m]
+        self.degree[m] += self.copies[q] @ f
+        apart = hit & (self.root[q][:, None] != self.root[m])
+        while apart.any():  # each row with its first similar other, then what that left apart
+            a = np.flatnonzero(apart.any(axis=1))
+            self._union(q[a], m[apart[a].argmax(axis=1)])
+            apart = hit & (self.root[q][:, None] != self.root[m])
 
 
-def local_clusters(x: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(similar others, sum of their cosines, local root) of every row; rows `left` are compared with rows `right`.
+class _Tasks:
+    """Which tasks the rows of a cell go to: pairs of a block of members with a block of members or visitors.
 
-    left and right are the same rows or have none in common; each pair is met once. Products
-    are of float32 where the outcome is clear, of float64 near the bound.
+    The blocks of a cell are estimated from the sample; that only decides which tasks do the
+    work. Small cells share tasks.
     """
-    n, same = len(x), left is right or np.array_equal(left, right)
-    low = x.astype(np.float32)
-    degree, total, root = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
-    step = 1024
-    for at in range(0, len(left), step):
-        q = left[at : at + step]
-        m = right[at:] if same else right
-        s = low[q] @ low[m].T
-        if same:
-            s[:, : len(q)][np.tri(len(q), dtype=bool)] = -2
-        a, b = np.divmod(np.flatnonzero(s >= cosine - 1e-5), len(m))
-        v = s[a, b].astype(np.float64)
-        close = np.flatnonzero(v < cosine + 1e-5)
-        if len(close):
-            v[close] = np.einsum("ij,ij->i", x[q[a[close]]], x[m[b[close]]])
-            keep = v >= cosine - 1e-12
-            a, b, v = a[keep], b[keep], v[keep]
-        if not len(a):
-            continue
-        ga, gb = q[a], m[b]
-        for lo in range(0, len(a), 1_000_000):
-            i, j, w = ga[lo : lo + 1_000_000], gb[lo : lo + 1_000_000], v[lo : lo + 1_000_000]
-            degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-            total += np.bincount(i, weights=w, minlength=n) + np.bincount(j, weights=w, minlength=n)
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        spread = np.diff(np.r_[first, len(a)])
-        while True:
-            ra, rb = root[ga], root[gb]
-            if (ra == rb).all():
-                break
-            # the root of a row and the roots of all its similar rows hang under the smallest of them
-            least = np.repeat(np.minimum(np.minimum.reduceat(rb, first), ra[first]), spread)
-            np.minimum.at(root, ra, least)
-            np.minimum.at(root, rb, least)
-            while not np.array_equal(up := root[root], root):
-                root = up
-    return degree, total, root
+
+    def __init__(self, own: np.ndarray, visits: np.ndarray, n_cells: int, scale: float, cores: int) -> None:
+        members = np.bincount(own, minlength=n_cells + 1) * scale
+        guests = np.r_[np.bincount(visits, minlength=n_cells) * scale, 0]
+        blocks = lambda n: np.maximum(1, np.ceil(n / BLOCK)).astype(int)
+        self.mb, self.vb = blocks(members), blocks(guests)
+        n = members[n_cells]
+        self.mb[n_cells] = max(1, math.ceil(n / OPEN_BLOCK), min(math.ceil(n / (BLOCK / 2)), math.ceil(math.sqrt(4 * cores))))
+        self.vb[n_cells] = 0
+        self.width = np.maximum(self.mb, self.vb)
+        self.first = np.r_[0, np.cumsum(self.mb * self.width)]
+        load = np.repeat(members / self.mb + np.where(self.vb > 0, guests / np.maximum(1, self.vb), 0), self.mb * self.width)
+        load[self.first[n_cells] :] = BIN
+        self.bins = np.floor(np.cumsum(load) / BIN).astype(np.int32) if len(load) else np.zeros(0, np.int32)
+        self.bins[self.first[n_cells] :] = self.bins[self.first[n_cells]] + np.arange(len(load) - self.first[n_cells]) if len(load) else 0
+
+    def of_members(self, cell: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pair of blocks, role 0 or 1) of every place where a member is needed."""
+        k = h % self.mb[cell]
+        w = self.width[cell]
+        row = np.repeat(np.arange(len(cell)), w)
+        b = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        c, kk = cell[row], k[row]
+        as_left = (b >= kk) & (b < self.mb[c]) | (b < self.vb[c])
+        as_right = b < kk
+        return (
+            np.r_[row[as_left], row[as_right]],
+            np.r_[(self.first[c] + kk * self.width[c] + b)[as_left], (self.first[c] + b * self.width[c] + kk)[as_right]],
+            np.r_[np.zeros(as_left.sum(), np.int8), np.ones(as_right.sum(), np.int8)],
+        )
+
+    def of_guests(self, cell: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = h % np.maximum(1, self.vb[cell])
+        w = self.mb[cell]
+        at = np.repeat(np.arange(len(cell)), w)
+        a = np.arange(len(at)) - np.repeat(np.cumsum(w) - w, w)
+        return at, self.first[cell[at]] + a * self.width[cell[at]] + k[at]
+
+    def diagonal(self, pair: int) -> bool:
+        c = int(np.searchsorted(self.first, pair, "right")) - 1
+        a, b = divmod(pair - int(self.first[c]), int(self.width[c]))
+        return a == b
+
+    def is_open(self, pair: int) -> bool:
+        return pair >= self.first[len(self.mb) - 1]
 
 
 def density_clusters(rows: DataFrame, key: str = "chunk_id", vec: str = "embedding", width: int = 64, cosine: float = 0.85) -> DataFrame:
-    """(record, cluster, degree, weight) of every record with at least one similar other.
+    """(record, cluster, degree) of every record with at least one similar other.
 
     cluster is the smallest record of the cluster; degree the number of records similar to
-    the record, weight the sum of their cosines. Vectors that are null, of another width, not
-    finite or all zero are left out, and so are null keys. A record sent twice counts once.
+    the record. Vectors that are null, of another width, not finite or all zero are left out,
+    and so are null keys. A record sent twice counts once, with the smallest of its vectors.
     """
-    base = rows.where(F.col(key).isNotNull() & (F.size(vec) == width)).select(F.col(key).cast("string").alias("id"), F.col(vec).cast("array<float>").alias("v"))
+    return _clusters(_usable(rows, key, vec, width), width, cosine)
+
+
+def _usable(rows: DataFrame, key: str, vec: str, width: int) -> DataFrame:
+    """(id, v) once per record, written."""
+    v = F.col(vec).cast("array<float>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    base = rows.where(F.col(key).isNotNull() & (F.size(vec) == width)).select(F.col(key).cast("string").alias("id"), v.alias("v")).where(finite)
+    return cut(base.groupBy("id").agg(F.min("v").alias("v")))
+
+
+def _clusters(base: DataFrame, width: int, cosine: float) -> DataFrame:
+    spark = base.sparkSession
     total = base.count()
     x = sample_matrix(base, "id", "v", width, SAMPLE, total) if total else np.zeros((0, width))
     if not len(x):
-        return base.sparkSession.createDataFrame([], "record string, cluster string, degree bigint, weight double")
-    proj, pivots = fit_cells(x, max(1, min(MOST_CELLS, math.ceil(total / CELL))))
-    # how many blocks a cell needs is estimated from the sample; it only decides which tasks do the work
-    blocks = np.maximum(1, np.ceil(np.bincount(place(x, proj, pivots), minlength=len(pivots)) * (total / len(x)) / BLOCK)).astype(int)
-    offset = np.cumsum(blocks) - blocks
+        return spark.createDataFrame([], "record string, cluster string, degree bigint")
+    pivots, axes = fit_pivots(x, cosine), fit_axes(x, cosine)
+    own, _, visited = place(x, pivots, cosine)
+    tasks = _Tasks(own, visited, len(pivots), total / len(x), spark.sparkContext.defaultParallelism)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             use, unit = matrix(b.column(1), width)
             if not len(use):
                 continue
-            cell = place(unit, proj, pivots)
-            ids = b.column(0).take(pa.array(use))
-            h = np.array([hash_id(i) for i in ids.to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(offset[cell] + h % blocks[cell], pa.int32()), ids, b.column(1).take(pa.array(use))], names=["block", "id", "v"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        first: dict[str, int] = {}  # records sent twice
-        for row, i in enumerate(table.column("id").to_pylist()):
-            first.setdefault(i, row)
-        v = table.column("v").take(pa.array(list(first.values()))).combine_chunks().flatten()
-        flat = v.to_numpy(zero_copy_only=False).astype(np.float32).tobytes()
-        return pa.table({"block": table.column("block")[:1], "ids": pa.array([list(first)], pa.list_(pa.string())), "v": pa.array([flat], pa.binary())})
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                one = b.column(0)[r].as_py() == b.column(3)[r].as_py()
-                ids, flat = b.column(1)[r].as_py(), b.column(2)[r].as_py()
-                left = right = np.arange(len(ids))
-                if not one:
-                    ids, flat = ids + b.column(4)[r].as_py(), flat + b.column(5)[r].as_py()
-                    right = np.arange(len(left), len(ids))
-                degree, weight, root = local_clusters(matrix(fixed(np.frombuffer(flat, np.float32).reshape(-1, width)), width)[1], left, right, cosine)
-                out = np.flatnonzero(degree)
+            ids = b.column(0).take(pa.array(use)).to_pylist()
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            raw = b.column(1).take(pa.array(use[order])).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            _, first, at, n = np.unique(raw.view(f"V{4 * width}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+            chosen = np.array(order)[first]  # of equal vectors the smallest record
+            unit, flat, names = unit[chosen], raw[first], [ids[i] for i in chosen]
+            h = np.array([hash_id(i) for i in names], np.int64)
+            cell, row_v, cell_v = place(unit, pivots, cosine)
+            row_m, pair_m, role_m = tasks.of_members(cell, h)
+            at_v, pair_v = tasks.of_guests(cell_v, h[row_v])
+            row = np.r_[row_m, row_v[at_v]]
+            pair = np.r_[pair_m, pair_v]
+            role = np.r_[role_m, np.full(len(pair_v), 2, np.int8)]
+            for lo in range(0, len(row), 20_000):
+                r, p = row[lo : lo + 20_000], pair[lo : lo + 20_000]
+                yield _batch(tasks.bins[p], p, role[lo : lo + 20_000], [names[i] for i in r], [None] * len(r), n[r], flat[r])
+            copies = [(ids[order[k]], names[at[k]]) for k in range(len(order)) if n[at[k]] > 1 and ids[order[k]] != names[at[k]]]
+            if copies:
+                yield _batch(np.array([hash_id(i) % max(1, len(tasks.bins)) for i, _ in copies]), np.full(len(copies), -1), np.full(len(copies), 3), [i for i, _ in copies], [i for _, i in copies], np.zeros(len(copies)), None)
+
+    def compare(table: pa.Table) -> pa.Table:
+        pair, role = table.column("pair").to_numpy(), table.column("role").to_numpy()
+        ids, n = np.array(table.column("id").to_pylist(), object), table.column("n").to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        copy = np.flatnonzero(role == 3)
+        twin_of = np.array(table.column("twin").to_pylist(), object)[copy] if len(copy) else np.zeros(0, object)
+        order = np.argsort(pair, kind="stable")
+        order = order[len(copy) :]
+        bounds = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0, True]) if len(order) else np.zeros(1, int)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            at = order[lo:hi]
+            k, who = int(pair[at[0]]), role[at]
+            links = Links(binary_rows(table.column("v").take(pa.array(at)), width), n[at], cosine, axes if tasks.is_open(k) else None)
+            left, right, guests = (np.flatnonzero(who == r) for r in (0, 1, 2))
+            if tasks.diagonal(k):
+                links.degree[left] += n[at[left]] - 1
+                links.compare(left)
+            elif len(right):
+                links.compare(left, right)
+            if len(guests):
+                links.compare(left, guests)
+            some = np.flatnonzero(links.degree > 0)
+            if len(some):
+                names, root = ids[at], links.root[some]
                 least: dict[int, str] = {}
-                for i, k in zip(out.tolist(), root[out].tolist()):
-                    least[k] = min(least.get(k, ids[i]), ids[i])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in out.tolist()], pa.string()), pa.array([least[k] for k in root[out].tolist()], pa.string()), pa.array(degree[out]), pa.array(weight[out])],
-                    names=["record", "local", "degree", "weight"],
-                )
-
-    placed = base.mapInArrow(spread, "block int, id string, v array<float>")
-    packed = cut(placed.groupBy("block").applyInArrow(pack, "block int, ids array<string>, v binary"))
-    sides = [packed.select(*(F.col(c).alias(c + side) for c in packed.columns)) for side in ("_a", "_b")]
-    parts = sides[0].crossJoin(sides[1]).where("block_a <= block_b").mapInArrow(compare, "record string, local string, degree bigint, weight double")
-    found = cut(parts.groupBy("record").agg(F.sum("degree").alias("degree"), F.sum("weight").alias("weight"), F.min("local").alias("label"), F.collect_set("local").alias("labels")))
-    release(packed)
+                for i, r in zip(names[some].tolist(), root.tolist()):
+                    if r not in least or i < least[r]:
+                        least[r] = i
+                out.append((names[some], np.array([least[r] for r in root.tolist()], object), links.degree[some]))
+        cat = lambda i, kind: pa.array(np.concatenate([o[i] for o in out]) if out else [], kind)
+        found = pa.table({"record": cat(0, pa.string()), "local": cat(1, pa.string()), "degree": pa.array(np.concatenate([o[2] for o in out]).astype(np.int64) if out else [], pa.int64()), "twin": pa.nulls(sum(len(o[0]) for o in out), pa.string())})
+        twins = pa.table({"record": pa.array(ids[copy], pa.string()), "local": pa.nulls(len(copy), pa.string()), "degree": pa.nulls(len(copy), pa.int64()), "twin": pa.array(twin_of, pa.string())})
+        return pa.concat_tables([found, twins])
+
+    placed = base.mapInArrow(spread, "task int, pair int, role tinyint, id string, twin string, n bigint, v binary")
+    parts = cut(placed.groupBy("task").applyInArrow(compare, "record string, local string, degree bigint, twin string"))
+    own_rows = parts.where("twin is null")
+    found = cut(own_rows.groupBy("record").agg(F.sum("degree").alias("degree"), F.min("local").alias("label"), F.collect_set("local").alias("labels")))
     # as many labels meet at a record as blocks hold records similar to it; the label pairs are far fewer than the records
     met = found.select("label", F.explode("labels").alias("other")).where("label <> other").distinct()
-    merged = connected_groups(met.select(F.col("label").alias("u"), F.col("other").alias("v")))
-    return found.join(merged, F.col("label") == F.col("x"), "left").select("record", F.coalesce("group", "label").alias("cluster"), "degree", "weight")
+    merged = connected_groups(met.select(F.least("label", "other").alias("u"), F.greatest("label", "other").alias("v")))
+    done = found.join(merged, F.col("label") == F.col("x"), "left").select("record", F.coalesce("group", "label").alias("cluster"), "degree")
+    copies = parts.where("twin is not null").select(F.col("record").alias("copy"), "twin")
+    same = copies.join(done, F.col("twin") == F.col("record")).select(F.col("copy").alias("record"), "cluster", "degree")
+    return done.union(same)
+
+
+def _batch(task: np.ndarray, pair: np.ndarray, role: np.ndarray, ids: list, twins: list, n: np.ndarray, flat: np.ndarray | None) -> pa.RecordBatch:
+    if flat is None:
+        v = pa.nulls(len(ids), pa.binary())
+    else:
+        size = flat.shape[1] * 4
+        v = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.arange(0, (len(flat) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+    return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(pair, pa.int32()), pa.array(role, pa.int8()), pa.array(ids, pa.string()), pa.array(twins, pa.string()), pa.array(n, pa.int64()), v], names=["task", "pair", "role", "id", "twin", "n", "v"])
 
 
 def hash_id(text: str) -> int:
@@ -190,14 +377,28 @@ def hash_id(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def describe(clusters: DataFrame, typical: int = 3) -> DataFrame:
-    """(cluster_id, size, n_links, mutual, typical): size, similar pairs, whether all pairs are similar, and the most typical members.
+def described_clusters(rows: DataFrame, key: str = "chunk_id", vec: str = "embedding", width: int = 64, cosine: float = 0.85, typical: int = 3) -> DataFrame:
+    """(cluster_id, size, n_links, mutual, typical) of the clusters of density_clusters().
 
-    Of each cluster only the `typical` best rows pass the window, which is limited before the shuffle.
+    n_links counts the similar pairs, mutual tells whether all pairs are similar, typical are
+    the members with the highest mean cosine to all members (rounded to 9 places, ties to the
+    smaller id). The mean is the product with the cluster's sum vector, which tasks add up
+    before the shuffle; members of a large cluster meet it in several tasks.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), (F.sum("degree") / 2).cast("long").alias("n_links"))
-    best = Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "record")
-    top = clusters.withColumn("place", F.row_number().over(best)).where(F.col("place") <= typical).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("t"))
+    base = _usable(rows, key, vec, width)
+    members = cut(_clusters(base, width, cosine))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), (F.sum("degree") / 2).cast("long").alias("n_links"))
+    held = cut(members.join(base, F.col("record") == F.col("id")).select("cluster", "record", "v"))
+    unit = held.withColumn("l", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+    unit = unit.select("cluster", "record", F.transform("v", lambda x: x.cast("double") / F.col("l")).alias("u"))
+    sums = unit.groupBy("cluster").agg(*(F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(width)))
+    sums = sums.join(sizes, "cluster").select("cluster", "size", F.array(*(F.col(f"s{i}") for i in range(width))).alias("s"), F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / MEDOID_ROWS).cast("int"))).alias("salt"))
+    salts = sizes.select("cluster", (F.floor((F.col("size") - 1) / MEDOID_ROWS) + 1).cast("int").alias("salts")).where("salts > 1")
+    # a cluster over MEDOID_ROWS is one of at most total / MEDOID_ROWS; the others have one salt
+    salted = unit.join(salts, "cluster", "left").withColumn("salt", F.pmod(F.xxhash64("record"), F.coalesce("salts", F.lit(1))).cast("int"))
+    near = salted.join(sums, ["cluster", "salt"]).select("cluster", "record", F.round(F.aggregate(F.zip_with("u", "s", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.col("size"), 9).alias("mean"))
+    best = Window.partitionBy("cluster").orderBy(F.desc("mean"), "record")
+    top = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= typical).groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("t"))
     return sizes.join(top, "cluster").select(F.col("cluster").alias("cluster_id"), "size", "n_links", (F.col("n_links") * 2 == F.col("size") * (F.col("size") - 1)).alias("mutual"), F.col("t.record").alias("typical"))
 
 

@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.describe(clusters.density_clusters(_t(spark, d, "chunks")))
+    return clusters.described_clusters(_t(spark, d, "chunks"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray,
     return rows[use], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fixed(x: np.ndarray) -> pa.Array:
-    """A matrix as an Arrow list<float> column."""
-    n, d = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d) if d else np.zeros(n + 1), pa.int32()), pa.array(x.astype(np.float32).ravel(), pa.float32()))
+def binary_rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The float32 rows that a binary column holds."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), width)

@@ -82,33 +82,65 @@ def blobs(n, d, sizes, seed=0):
     return np.concatenate([*parts, unit(rng.standard_normal((n, d)))])
 
 
+def brute_clusters(x, cosine=0.85):
+    """(degree, smallest member) of every row, by the whole matrix."""
+    x = unit(x.astype(float))
+    s = x @ x.T >= cosine - 1e-12
+    root = np.arange(len(x))
+    while True:
+        low = np.where(s, root, len(x)).min(axis=1)
+        if (low == root).all():
+            return s.sum(axis=1) - 1, root
+        root = low
+
+
 def test_clusters_agree_with_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "CELL", 60)
     monkeypatch.setattr(clusters, "BLOCK", 50)
+    monkeypatch.setattr(clusters, "BIN", 100)
     x = blobs(200, 64, [2, 3, 5, 80, 2, 4] * 2)
     rows = [(f"{i:04d}", [float(y) * (1 + i % 3) for y in v], "x") for i, v in enumerate(x)]
     bad = [("n1", None, "x"), ("n2", [0.0] * 64, "x"), ("n3", [float("nan")] * 64, "x"), ("n4", [1.0] * 3, "x"), (None, [1.0] * 64, "x")]
     df = spark.createDataFrame(rows + rows[:20] + bad, "chunk_id string, embedding array<float>, cluster string")
-    degree, _, root = clusters.local_clusters(unit(np.array([r[1] for r in rows], np.float32).astype(float)), np.arange(len(rows)), np.arange(len(rows)), 0.85)
+    degree, root = brute_clusters(np.array([r[1] for r in rows], np.float32))
     size = np.bincount(root, minlength=len(rows))
     want = {(rows[i][0], rows[root[i]][0], degree[i]) for i in range(len(rows)) if size[root[i]] > 1}
-    found = clusters.density_clusters(df)
-    assert {(r.record, r.cluster, r.degree) for r in found.collect()} == want and want
+    assert {(r.record, r.cluster, r.degree) for r in clusters.density_clusters(df).collect()} == want and want
     s = unit(np.array([r[1] for r in rows], np.float32).astype(float))
-    s = s @ s.T >= 0.85
-    assert all(degree[i] == s[i].sum() - 1 for i in range(len(rows)))
-    d = clusters.describe(found).collect()
-    assert all(len(r.typical) == min(3, r.size) and (r.mutual == (r.n_links == r.size * (r.size - 1) // 2)) for r in d)
+    for r in clusters.described_clusters(df).collect():
+        members = [i for i in range(len(rows)) if size[root[i]] > 1 and rows[root[i]][0] == r.cluster_id]
+        mean = np.round(s[members] @ s[members].mean(axis=0), 6)
+        assert r.size == len(members) and r.n_links == degree[members].sum() // 2 and r.mutual == (r.n_links == r.size * (r.size - 1) // 2)
+        assert [m for m, _ in zip(r.typical, range(3))] == [rows[members[k]][0] for k in np.lexsort((members, -mean))[:3]]
 
 
-def test_clusters_keep_pairs_of_a_group_that_many_pivots_split(spark, monkeypatch):
-    monkeypatch.setattr(clusters, "CELL", 10)
+def test_clusters_with_a_hot_cell_and_copies(spark, monkeypatch):
+    """A third of all rows in one group, a third copies of one vector, over several blocks and pivots."""
+    monkeypatch.setattr(clusters, "BLOCK", 100)
+    monkeypatch.setattr(clusters, "OPEN_BLOCK", 90)
     rng = np.random.default_rng(3)
-    x = unit(np.concatenate([unit(rng.standard_normal((1, 64))) * 8 + 0.36 * rng.standard_normal((600, 64)), rng.standard_normal((1200, 64))])).astype(np.float32)
-    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
-    s = unit(x.astype(float))
-    degree = (s @ s.T >= 0.85).sum(axis=1) - 1
-    assert {r.record: r.degree for r in clusters.density_clusters(df).collect()} == {f"{i:04d}": n for i, n in enumerate(degree.tolist()) if n}
+    one = unit(rng.standard_normal((1, 64)))
+    x = np.concatenate([unit(rng.standard_normal((1, 64))) * 8 + 0.36 * rng.standard_normal((500, 64)), np.repeat(one, 500, axis=0), rng.standard_normal((500, 64))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>").repartition(5)
+    degree, root = brute_clusters(x)
+    got = {r.record: (r.degree, r.cluster) for r in clusters.density_clusters(df).collect()}
+    assert got == {f"{i:04d}": (n, f"{root[i]:04d}") for i, n in enumerate(degree.tolist()) if n}
+
+
+def test_links_by_tiles_and_axes(monkeypatch):
+    monkeypatch.setattr(clusters, "TILE", (16, 24))
+    x = blobs(150, 64, [40, 3, 2, 60]).astype(np.float32)
+    degree, root = brute_clusters(x)
+    for axes in (None, clusters.fit_axes(x.astype(float), 0.85), np.eye(64, 8, dtype=np.float32)):
+        for cut_at in (None, 100):
+            links = clusters.Links(x * 3, np.ones(len(x)), 0.85, axes)
+            if cut_at:
+                links.compare(np.arange(cut_at))
+                links.compare(np.arange(cut_at, len(x)))
+                links.compare(np.arange(cut_at), np.arange(cut_at, len(x)))
+            else:
+                links.compare(np.arange(len(x)))
+            assert (links.degree == degree).all() and (links.root == root).all()
 
 
 def test_clusters_of_nothing(spark):
