@@ -1,21 +1,26 @@
 """Abusive, hateful or sexual content, by weak supervision.
 
-1. Texts are cut into sentences. Disguised terms are unmasked: digits for letters, letters
-   set apart, repeated or replaced by a sign, invisible characters. Parts in quotation marks
-   are set aside, since a quoted word is no insult.
+1. The corpus is read once. Texts become sentences of word ids, written to the shared folder.
+   Disguised terms are unmasked: digits for letters, letters set apart, repeated or replaced
+   by a sign, invisible characters. Parts in quotation marks are set aside, since a quoted
+   word is no insult. What a token holds is worked out once per distinct token.
 2. Voters (term lists, the same with and without a second person, patterns, contexts that
    speak for a technical or reporting use, and the judgements of annotators) vote for,
    against or not at all, on every sentence of every document, per category.
 3. A generative label model is fitted by expectation maximisation to the counts of vote
    patterns over all sentences: each voter's rates given the hidden class, whose share is
-   taken from the annotated documents. Voters that agree
-   beyond what the class explains are weighed down by their estimated correlations.
-4. A linear classifier on hashed words, word pairs, term classes and votes is trained on the
-   posterior labels of a bounded sample of the sentences, then scores every sentence; a
-   document's score per category is the highest of its sentences.
+   taken from the annotated documents. Voters that agree beyond what the class explains are
+   weighed down by their estimated correlations.
+4. A linear classifier on hashed words, word beginnings and word pairs, with listed terms as
+   their classes, is trained on the posterior labels of the sentences of a bounded sample of
+   documents. It does not see the votes. In documents that annotators named a category for
+   without any voter's support, the sentence to blame is found in turns with the training
+   (the classifier's highest of the document), so that it learns what the lists don't name.
+5. The classifier scores every sentence of every document from the written ids; a document's
+   score per category is the highest of its sentences.
 
 What reaches the driver is the table of vote patterns (at most 3 to the number of voters per
-category) and the bounded sample.
+category) and the sample: at most 2 x (JUDGED + JUDGED + OTHERS) documents.
 """
 
 from __future__ import annotations
@@ -30,24 +35,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.llm.lexicon import CATEGORIES, PATTERNS, SECOND_PERSON, TERMS
+from leafspark.llm.lexicon import BESIDE, CATEGORIES, PATTERNS, SECOND_PERSON, TERMS
 from leafspark.session import cut, release
 
-#: Bits of the feature hash; sentences of the training sample (at most 2 x SAMPLE reach the driver); one in NEUTRAL sentences without votes is kept for it.
-BITS, SAMPLE, NEUTRAL = 16, 20_000, 40
+#: Documents of the sample: those that annotators named a category for, those they cleared, and others.
+JUDGED, OTHERS = 1_500, 1_500
+#: Sizes of the feature hash for words and pairs, and for word beginnings.
+WORDS, PAIRS, STARTS = 1 << 17, 1 << 18, 1 << 15
 BOUND = 0.5
 ANNOTATOR, UNJUDGED, SHRINK = 0.9, 0.1, 20
-
-INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
-BREAK = re.compile(r"(?<=[.!?。…])[\"')\]*_]*\s+|\n\s*\n|\n(?=[ \t]*(?:[-*+>|#]|\d+[.)]) ?)|\|")
-QUOTED = re.compile(r"(?<!\w)(['\"])(?=\S)[^'\"\n]{2,120}?\1(?!\w)|«[^»]*»|“[^”]*”|„[^“”]*[“”]|‘[^’]*’")
+#: Weight in the training of sentences without votes in documents that nobody judged, and rounds of training and blaming.
+LIGHT, ROUNDS, EPOCHS = 0.3, 3, 6
+#: Probability that a classifier which did not see a document must give a sentence of it for the annotators' word to hold for it.
+SUPPORT = 0.1
+#: The words of a longer sentence share the weight of so many.
+FULL_LENGTH = 24
+#: Distinct tokens that a worker keeps.
+KEPT_TOKENS = 400_000
+
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]")
+LINE_BREAK = re.compile(r"\n(?:[^\S\n]*\n|(?=[ \t]*(?:[-*+>#]|\d+[.)])))")
+ENDING = re.compile(r"[.!?。…][\"')\]*_]*$")
+QUOTED = re.compile(r"(?<!\w)(['\"])(?=\S)[^'\"\n]{2,120}?\1(?!\w)|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|‘[^’\n]*’")
 TOKEN = re.compile(r"[^\W\d_]+")
 LEET = str.maketrans("013457", "oieast")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])|(?<![가-힣])[가-힣](?:[.\-_*][가-힣])+")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?: [^\W\d_]{2})?(?![^\W_])")
+SINGLES = re.compile(r" [^\W\d_] [^\W\d_](?![^\W_])")
 HANGUL_PAIR = re.compile(r"(?<![가-힣])([가-힣]+) ([가-힣])(?![가-힣])")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
 EDGES = ".,;:!?\"'()[]{}<>…|`~"
+BREAK_MARK, QUOTE_MARK = "\x01", "\x02"
 
 CLASSES: dict[str, tuple[str, ...]] = {}
 for _c in CATEGORIES:
@@ -59,12 +77,6 @@ MASKED = {f"{t[:i]}\0{t[i + 1 :]}": t for t in CLASSES if len(t) > 2 for i in ra
 VOTERS = {c: ["term", "disguised", "alone", *(n for k, n, _, _ in PATTERNS if k == c), "quoted", "annotated"] for c in CATEGORIES}
 _PATTERNS = [(c, n, v, re.compile(p)) for c, n, v, p in PATTERNS]
 _YOU = re.compile(SECOND_PERSON)
-# each starts with a character or a set, so that the scan runs to the next one before it tries to match
-_SIGN = re.compile(r"[@#*$_.\-\d](?:(?<=[^\W\d_].)(?=[^\W_\s])|(?<=\d)(?=[^\W\d_]))")
-_SINGLE = re.compile(r" [^\W\d_] [^\W\d_](?!\w)")
-_SYLLABLE = re.compile(r"[가-힣] [가-힣](?![가-힣])")
-_DIGIT = re.compile(r"[가-힣][013457]")
-_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóú" + "".join(sorted({c for t in CLASSES for c in t if "가" <= c <= "힣"}))
 
 
 def literals(pattern: str) -> set[str]:
@@ -96,89 +108,30 @@ def literals(pattern: str) -> set[str]:
     return of(parser.parse(pattern))
 
 
-_HINTS = _RUNS = _SIGNS = None
-
-
-def runs():
-    """An automaton of the letters three times in a row, and of the masked terms whose sign is none to _SIGN.
-
-    These are a sign first or last, the rarer signs, and a digit last, also for a letter that makes a run.
-    """
-    global _RUNS
-    if _RUNS is None:
-        import ahocorasick
-
-        _RUNS = ahocorasick.Automaton()
-        for c in _LETTERS:
-            _RUNS.add_word(3 * c, c)
-        for t in CLASSES:
-            for i in range(len(t)) if len(t) > 2 else ():
-                for x in "!%&+?" if 0 < i < len(t) - 1 else "@#*$_%&+":
-                    w = f"{t[:i]}{x}{t[i + 1 :]}"
-                    _RUNS.add_word(w, w)
-            for w in (f"{t[:-1]}!s", f"{t[:-1]}?s") if len(t) > 2 else ():
-                _RUNS.add_word(w, w)
-            for w in (t, f"{t}s"):
-                for digit, letter in LEET.items():
-                    if w[-1] == chr(letter):
-                        w = w[:-1] + chr(digit)
-                        _RUNS.add_word(w, w)
-        for digit, letter in LEET.items():
-            w = 2 * chr(letter) + chr(digit)
-            _RUNS.add_word(w, w)
-        _RUNS.make_automaton()
-    return _RUNS
+_HINTS = None
 
 
 def hints():
-    """An automaton of the terms (-1) and of what each pattern for a category must hold (its place).
-
-    A sentence without a hit has no votes, and only the patterns that were hit need a search.
-    """
+    """An automaton of what each pattern for a category must hold, without those that only count beside others; a text without a hit matches none of them."""
     global _HINTS
     if _HINTS is None:
         import ahocorasick
 
         _HINTS = ahocorasick.Automaton()
-        held: dict[str, set[int]] = {t: {-1} for t in CLASSES}
-        for i, (_, _, sign, p) in enumerate(_PATTERNS):
-            for x in literals(p.pattern) if sign > 0 else ():
-                held.setdefault(x, set()).add(i)
-        for x, places in held.items():
-            _HINTS.add_word(x, tuple(places))
+        for c, n, sign, p in _PATTERNS:
+            for x in literals(p.pattern) if sign > 0 and (c, n) not in BESIDE else ():
+                _HINTS.add_word(x, x)
         _HINTS.make_automaton()
     return _HINTS
 
 
-def signs():
-    """An automaton of the hints and what is in that of the runs."""
-    global _SIGNS
-    if _SIGNS is None:
-        import ahocorasick
-
-        _SIGNS = ahocorasick.Automaton()
-        for x in {*hints().keys(), *runs().keys()}:
-            _SIGNS.add_word(x, x)
-        _SIGNS.make_automaton()
-    return _SIGNS
-
-
-def odd(s: str) -> bool:
-    """Whether a lower-case sentence may hold a disguised term."""
-    return _marked(s) or next(runs().iter(s), None) is not None
-
-
-def _marked(s: str) -> bool:
-    return _SIGN.search(s) is not None or _SINGLE.search(s) is not None or (s[1:2] == " " and _SINGLE.match(f" {s[:4]}") is not None) or (not s.isascii() and (_SYLLABLE.search(s) is not None or _DIGIT.search(s) is not None))
-
-
 def term(token: str) -> str | None:
     """The listed term that a token is, in singular or plural; Korean terms may carry particles."""
     if token in CLASSES:
         return token
     if token[-1:] == "s" and token[:-1] in CLASSES:
         return token[:-1]
-    if "가" <= token[0] <= "힣":
+    if "가" <= token[:1] <= "힣":
         return next((t for t in HANGUL if token.startswith(t)), None)
     return None
 
@@ -202,150 +155,209 @@ def _unmasked(token: str) -> str:
     return token
 
 
-def unmask(s: str) -> tuple[str, bool]:
-    """(a lower-case sentence with disguised terms replaced by what they hide, whether there were any)."""
-    return _unmask(s) if odd(s) else (s, False)
-
-
-def _unmask(s: str) -> tuple[str, bool]:
-    """As unmask, without the look for signs of a disguise before."""
-    hidden = False
-
-    def joined(m: re.Match) -> str:
-        nonlocal hidden
-        t = re.sub(r"[ .\-_*]", "", m[0])
+def _joined(m: re.Match) -> str:
+    """Letters set apart as the term they spell, after up to two letters of their own and before a word of two; marked for what it is."""
+    t = re.sub(r"[ .\-_*]", "", m[0])
+    for tail in (0, 2) if m[0][-3:-2] == " " else (0,):
+        body = t[: len(t) - tail]
         for cut_at in (0, 1, 2):
-            if hit := term(t[cut_at:]) if len(t) > cut_at + 1 else None:
-                hidden = True
-                return f"{t[:cut_at]} {hit} "
-        return m[0] if " " in m[0] else t
-
-    t = re.sub(r"-\s+-", " ", s)
-    t = SPACED.sub(joined, APART.sub(joined, t))
-    t = HANGUL_PAIR.sub(lambda m: joined(m) if m[1][-1:] + m[2] in CLASSES or m[1] + m[2] in CLASSES else m[0], t)
-    out = []
-    for w in t.split():
-        u = _unmasked(w) if not w.isalpha() or RUN.search(w) else w
-        hidden |= u is not w
-        out.append(u)
-    return " ".join(out), hidden
-
-
-def sentences(text: str) -> list[str]:
-    text = INVISIBLE.sub("", text).replace("\r\n", "\n").replace("\r", "\n").lower()
-    return [" ".join(s.split()) for s in BREAK.split(text) if s and not s.isspace()]
-
-
-def votes(s: str) -> tuple[dict[str, list[int]], list[str] | None, str]:
-    """(votes per category without the annotators', words or None if they weren't needed, the unmasked sentence) of a lower-case sentence."""
-    if not _marked(s) and next(signs().iter(s), None) is None:
-        return {}, None, s
-    full, hidden = unmask(s)
-    hit = {i for _, places in hints().iter(full) for i in places}
-    if not hit:
-        return {}, None, full
-    bare = QUOTED.sub(" ", full) if "'" in full or '"' in full or "«" in full or "“" in full or "„" in full or "‘" in full else full
-    tokens = TOKEN.findall(bare)
-    named = {c: False for c in CATEGORIES}
-    for t in tokens if -1 in hit else ():
-        if name := term(t):
-            for c in CLASSES[name]:
-                named[c] = True
-    speaks = any(named.values()) or any(i >= 0 and _PATTERNS[i][3].search(bare) for i in hit)
-    quoted = {c: False for c in CATEGORIES}
-    if bare is not full and len(bare) != len(full):
-        for t in TOKEN.findall(full):
-            if name := term(t):
-                for c in CLASSES[name]:
-                    quoted[c] |= not named[c]
-    if not speaks and not any(quoted.values()):
-        return {}, tokens, bare
-    you = bool(_YOU.search(bare))
+            if hit := term(body[cut_at:]) if len(body) > cut_at + 1 else None:
+                return f"{' '.join(body[:cut_at])} {hit}\3 {t[len(body) :]}"
+    return m[0] if " " in m[0] else t
+
+
+def _aside(m: re.Match) -> str:
+    """What stays of a quotation: a mark, and one of each class that it names."""
+    named = sorted({c for w in TOKEN.findall(m[0]) if (hit := term(w)) for c in CLASSES[hit]})
+    return f" {QUOTE_MARK} " + "".join(f" {QUOTE_MARK}{c} " for c in named)
+
+
+def prepared(text: str) -> list[str]:
+    """The tokens of a text, with marks for ends of sentences at lines, and for quotations."""
+    t = text if text.isascii() else INVISIBLE.sub("", text)
+    t = t.lower()
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    t = LINE_BREAK.sub(f" {BREAK_MARK} ", t)
+    if "|" in t:
+        t = t.replace("|", f" {BREAK_MARK} ")
+    if "'" in t or '"' in t or not t.isascii():
+        t = QUOTED.sub(_aside, t)
+    if SINGLES.search(t) or SINGLES.match(f" {t[:4]}"):
+        t = SPACED.sub(_joined, re.sub(r"-\s+-", " ", t))
+    if not t.isascii() and HANGUL_PAIR.search(t):
+        t = HANGUL_PAIR.sub(lambda m: _joined(m) if m[1][-1:] + m[2] in CLASSES or m[1] + m[2] in CLASSES else m[0], t)
+    return t.split()
+
+
+def word_id(word: str) -> int:
+    """31 bits: 15 of the word's beginning (5 letters, 2 of Hangul), 16 of the word."""
+    start = word[:2] if "가" <= word[:1] <= "힣" else word[:5]
+    return (zlib.crc32(start.encode("utf-8", "surrogatepass")) & 0x7FFF) << 16 | zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 16
+
+
+#: In place of a word at the end of a sentence; no word has this id.
+END = -1
+#: What a token tells about the sentence it is in.
+TERM, QUOTES = 1, 2
+
+
+class Tokens:
+    """Word ids, words and flags of raw tokens, kept for tokens that come again."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[str, int] = {}
+        self.words: list[tuple[str, ...]] = []
+        self.size = np.zeros(1024, np.int32)
+        self.flag = np.zeros(1024, np.int8)
+        self.first = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.int32)
+        self.used = 0
+
+    def add(self, w: str) -> int:
+        ids, words, flag = self._read(w)
+        k = len(self.words)
+        if k == len(self.size):
+            self.size, self.flag, self.first = (np.r_[x, np.zeros(k, x.dtype)] for x in (self.size, self.flag, self.first))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.int32)]
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[k], self.flag[k], self.first[k] = len(ids), flag, self.used
+        self.used += len(ids)
+        self.words.append(words)
+        self.of[w] = k
+        return k
+
+    def _read(self, w: str) -> tuple[list[int], tuple[str, ...], int]:
+        if w == BREAK_MARK:
+            return [END], (), 0
+        if w[0] == QUOTE_MARK:
+            return ([word_id("<quote>")], (), 0) if w == QUOTE_MARK else ([], (w,), QUOTES)
+        end = [END] if ENDING.search(w) else []
+        if w.isalpha() and not RUN.search(w):
+            words, hidden = [w], False
+        else:
+            u = APART.sub(_joined, w) if any(c in w for c in ".-_*") else w
+            hidden = "\3" in u
+            u = u if hidden else w
+            words = []
+            for part in u.split():
+                plain = part.rstrip("\3")
+                v = plain if plain.isalpha() and not RUN.search(plain) else _unmasked(plain)
+                hidden |= v is not plain or plain is not part
+                words += TOKEN.findall(v)
+        ids, flag, out = [], 0, []
+        for x in words:
+            hit = term(x)
+            if hit:
+                flag |= TERM
+                ids.append(word_id("<" + "+".join(CLASSES[hit]) + ">"))
+            else:
+                ids.append(word_id(x))
+            out.append(x)
+        if hidden:
+            out.append("\3")
+        return ids + end, tuple(out), flag
+
+    def entries(self, raw: list[str]) -> list[int]:
+        get = self.of.get
+        return [k if (k := get(w)) is not None else self.add(w) for w in raw]
+
+
+_TOKENS = Tokens()
+
+
+def votes(words: list[str]) -> dict[str, list[int]]:
+    """Votes per category, without the annotators', on the words of a sentence; empty if nothing speaks for any."""
+    hidden = "\3" in words
+    quoted = {w[1:] for w in words if w[0] == QUOTE_MARK}
+    words = [w for w in words if w[0] not in "\2\3"]
+    s = " ".join(words)
+    named = {c for w in words if (hit := term(w)) for c in CLASSES[hit]}
+    if not named and not quoted and not any(p.search(s) for c, n, sign, p in _PATTERNS if sign > 0 and (c, n) not in BESIDE):
+        return {}
+    said = {c: [sign * bool(p.search(s)) for k, _, sign, p in _PATTERNS if k == c] for c in CATEGORIES}
+    you = bool(_YOU.search(s))
     out = {}
     for c in CATEGORIES:
-        said = [sign * bool(p.search(bare)) for k, _, sign, p in _PATTERNS if k == c]
         # a term alone, with nobody addressed and no pattern around it, speaks against; an insult to someone is no hate
-        aimed = 1 in said or (c == "abuse" and you)
-        v = [int(named[c]), int(named[c] and hidden), int(named[c] and you and c == "abuse") if aimed else -int(named[c])]
-        v += said
-        v.append(-int(quoted[c]))
-        out[c] = v
-    return out, tokens, bare
-
-
-_IDS: dict[str, int] = {}
-MASK = (1 << BITS) - 1
-
-
-def _id(name: str) -> int:
-    """The hash of a name, kept for names that come again."""
-    h = _IDS.get(name)
-    if h is None:
-        if len(_IDS) > 300_000:
-            _IDS.clear()
-        h = _IDS[name] = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-    return h
-
-
-def words_of(v: dict[str, list[int]], tokens: list[str]) -> tuple[list[int], list[int]]:
-    """(hashes of the words in order, with listed terms as their classes; hashes of the terms, and of the votes)."""
-    if not v:
-        get = _IDS.get
-        return [get(t) or _id(t) for t in tokens], []
-    order, more = [], [_id(f"\1{c}{i}{y:+d}") for c, x in v.items() for i, y in enumerate(x) if y]
-    for t in tokens:
-        hit = term(t)
-        order.append(_id("<" + "+".join(CLASSES[hit]) + ">" if hit else t))
-        if hit:
-            more.append(_id(t))
-    return order, more
-
+        aimed = 1 in said[c] or (c == "abuse" and you)
+        v = [int(c in named), int(c in named and hidden), int(c in named and you and c == "abuse") if aimed else -int(c in named)]
+        out[c] = [*v, *said[c], -int(c in quoted and c not in named)]
+    return out
 
-def features(order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features of words, features of pairs; a pair across sentences, which start at `starts`, has the feature of no pair)."""
-    pairs = (order[:-1] * 40503 + order[1:] * 2654435761 + 97) >> 7
-    pairs = (pairs & MASK).astype(np.int64)
-    pairs[starts[1:] - 1] = MASK + 1
-    return order & MASK, pairs
 
+def read(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, ids, votes): word ids with END after each sentence, and the votes on sentences, one string per category.
 
-def vote_features(v: dict[str, list[int]], tokens: list[str]) -> list[int]:
-    order, more = words_of(v, tokens)
-    one, two = features(np.array(order, np.int64), np.zeros(1, np.int64))
-    return [*one.tolist(), *two.tolist(), *(x & MASK for x in more)]
-
-
-def vote_table(documents: DataFrame, labels: DataFrame | None, text: str = "text") -> DataFrame:
-    """(doc_id, sentence hash, one string of votes per category, features) of the sentences with votes and of some without.
-
-    An annotator's judgement joins here: + if at least half of those who judged the document
-    named the category, - if fewer did; it holds for all of its sentences with votes.
+    The only pass over the texts. A vote has the sentence's place among those with words and a
+    hash of its words.
     """
+    vote = "struct<at: int, h: bigint, " + ", ".join(f"{c}: string" for c in CATEGORIES) + ">"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, tokens = hints(), _TOKENS
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s in sentences(t):
-                    v, tokens, said = votes(s)
-                    h = zlib.crc32(s.encode("utf-8", "surrogatepass"))
-                    if tokens is None and h % NEUTRAL == 0:
-                        tokens = TOKEN.findall(said)
-                    if v or (tokens and h % NEUTRAL == 0):
-                        rows.append((k, h, *("".join("-0+"[y + 1] for y in v.get(c, ())) for c in CATEGORIES), vote_features(v, tokens) if tokens else []))
-            kinds = [b.column(0).type, pa.int64(), *[pa.string()] * len(CATEGORIES), pa.list_(pa.int32())]
-            cols = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), p) for x, p in zip(cols, kinds)], names=["doc_id", "h", *CATEGORIES, "f"])
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                if len(tokens.words) > KEPT_TOKENS:
+                    tokens.clear()
+                found, entries, size = [], [], []
+                for t in part.column(1).to_pylist():
+                    raw = prepared(t)
+                    e = tokens.entries(raw)
+                    entries.append(e)
+                    size.append(len(e))
+                    found.append(next(find.iter(" ".join(raw)), None) is not None)
+                flat = np.fromiter((k for e in entries for k in e), np.int64, sum(size))
+                own = np.repeat(np.arange(len(entries)), size)
+                flagged = np.bincount(own, tokens.flag[flat] > 0, len(entries)) > 0
+                n = tokens.size[flat]
+                ids = tokens.ids[np.repeat(tokens.first[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                of = np.repeat(own, n)
+                # an END after the last word of every document, and none after another
+                last = np.flatnonzero(np.r_[of[1:] != of[:-1], True]) if len(of) else np.zeros(0, int)
+                ids, of = np.insert(ids, last + 1, END), np.insert(of, last + 1, of[last])
+                keep = (ids != END) | np.r_[False, (ids[:-1] != END) & (of[1:] == of[:-1])]
+                ids, of = ids[keep], of[keep]
+                cut_at = np.r_[0, np.cumsum(np.bincount(of, minlength=len(entries)))]
+                said = [self_votes(tokens, entries[i], find) if found[i] or flagged[i] else [] for i in range(len(entries))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(ids, pa.int32())), pa.array(said, pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64()), *((c, pa.string()) for c in CATEGORIES)])))], names=["doc_id", "ids", "votes"])
 
     key = dict(documents.dtypes)["doc_id"]
-    table = documents.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {key}, h bigint, " + ", ".join(f"{c} string" for c in CATEGORIES) + ", f array<int>")
-    if labels is None:
-        return table.withColumns({c: F.when(F.col(c) != "", F.concat(c, F.lit("0"))).otherwise("") for c in CATEGORIES})
+    return documents.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {key}, ids array<int>, votes array<{vote}>")
+
+
+def self_votes(tokens: Tokens, entries: list[int], find) -> list[dict]:
+    """The votes on the sentences of a document that hold a term or what a pattern needs."""
+    out, words, any_term, any_id, at = [], [], False, False, 0
+    for k in [*entries, -1]:
+        ends = k < 0
+        if not ends:
+            words += tokens.words[k]
+            any_term |= tokens.flag[k] > 0
+            n, first = tokens.size[k], tokens.first[k]
+            ends = bool(n) and tokens.ids[first + n - 1] == END
+            any_id |= n > ends
+        if ends:
+            if any_id:
+                if words and (any_term or next(find.iter(" ".join(words)), None) is not None):
+                    v = votes(words)
+                    if v:
+                        out.append({"at": at, "h": zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")), **{c: "".join("-0+"[y + 1] for y in v[c]) for c in CATEGORIES}})
+                at += 1
+            words, any_term, any_id = [], False, False
+    return out
+
+
+def judgements(labels: DataFrame) -> DataFrame:
+    """(doc_id, one + or - per category): + if at least half of those who judged the document named the category."""
     judged = labels.where("doc_id is not null and category is not null").select("doc_id", "annotator", F.lower(F.trim("category")).alias("category")).distinct()
     people = judged.groupBy("doc_id").agg(F.count_distinct(F.coalesce("annotator", F.lit(""))).alias("n"), *(F.sum((F.col("category") == c).cast("int")).alias(f"n_{c}") for c in CATEGORIES))
-    said = people.select("doc_id", *(F.when(2 * F.col(f"n_{c}") >= F.col("n"), "+").otherwise("-").alias(f"said_{c}") for c in CATEGORIES))
-    joined = table.join(said, "doc_id", "left")
-    return joined.select("doc_id", "h", *(F.when(F.col(c) != "", F.concat(c, F.coalesce(f"said_{c}", F.lit("0")))).otherwise("").alias(c) for c in CATEGORIES), "f")
+    return people.select("doc_id", *(F.when(2 * F.col(f"n_{c}") >= F.col("n"), "+").otherwise("-").alias(f"said_{c}") for c in CATEGORIES))
 
 
 class LabelModel:
@@ -403,48 +415,177 @@ class LabelModel:
         return float(self.posterior_of(np.array([["-0+".index(c) for c in pattern]]))[0])
 
 
-def fit(table: DataFrame) -> tuple[np.ndarray, dict[str, LabelModel]]:
-    """(weights of the classifier, features + 1 x categories, the label models), from the vote table."""
-    models = {}
-    for c in CATEGORIES:
-        voted = table.where(F.col(c).rlike(r"^[-0+]*\+[-0+]*[-0+]$"))
-        seen = voted.groupBy(c).agg(F.count_distinct("h").alias("n")).orderBy(c).collect()
-        if seen:
-            models[c] = LabelModel([r[c] for r in seen], [r["n"] for r in seen])
-    n = table.count()
-    if not n or not models:
-        none = np.zeros(((1 << BITS) + 1, len(CATEGORIES)))
-        none[-1] = -10  # nothing speaks for any category
-        return none, models
-    share = min(1.0, SAMPLE / n)
-    rows = table.where(F.pmod(F.xxhash64("h", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(*CATEGORIES, "f").limit(2 * SAMPLE).toArrow()
-    y = np.array([[models[c].posterior(p) if p and c in models and "+" in p[:-1] else 0.0 for p in rows.column(c).to_pylist()] for c in CATEGORIES]).T
-    f = rows.column("f").combine_chunks()
-    return train(f.values.to_numpy(), f.offsets.to_numpy(), y), models
-
-
-def train(col: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = 25, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft labels by Adam; the last row of the weights is the bias."""
-    w = np.zeros(((1 << BITS) + 1, y.shape[1]))
-    w[-1] = -3
-    m, s, t = np.zeros_like(w), np.zeros_like(w), 0
-    rng = np.random.default_rng(17)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), 2048):
-            i = order[at : at + 2048]
-            size = offsets[i + 1] - offsets[i]
-            row = np.repeat(np.arange(len(i)), size)
-            c = col[np.repeat(offsets[i] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-            z = np.stack([np.bincount(row, weights=w[c, k], minlength=len(i)) for k in range(y.shape[1])], axis=1) + w[-1]
-            g = (1 / (1 + np.exp(-z)) - y[i]) / len(i)
-            grad = np.stack([np.bincount(c, weights=g[row, k], minlength=len(w)) for k in range(y.shape[1])], axis=1)
-            grad[-1] += g.sum(axis=0)
-            grad[:-1] += decay * w[:-1]
-            t += 1
-            m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return w
+def features(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word beginnings, pairs) of the sentences in a row of ids, one of each a place; places of END have feature SIZE, as have pairs over one."""
+    end = ids == END
+    u = ids.astype(np.int64)
+    one = (u * 2654435761 >> 9) & (WORDS - 1)
+    start = WORDS + (u >> 16 & STARTS - 1)
+    two = np.full(len(u), SIZE)
+    pair = ((u[:-1] * 40503 ^ u[1:] * 2246822519) * 2654435761 >> 11) & (PAIRS - 1)
+    two[1:] = np.where(end[:-1] | end[1:], SIZE, WORDS + STARTS + pair)
+    return np.where(end, SIZE, one), np.where(end, SIZE, start), two
+
+
+SIZE = WORDS + STARTS + PAIRS
+
+
+def share(n_words: np.ndarray) -> np.ndarray:
+    """The weight of a word of a sentence, so that a phrase said again and again does not add up."""
+    return np.minimum(1.0, FULL_LENGTH / np.maximum(1, n_words))
+
+
+class Sample:
+    """Sentences of the sampled documents: their features, first places, documents, and soft labels."""
+
+    def __init__(self, table: pa.Table, models: dict[str, LabelModel]) -> None:
+        ids = table.column("ids").combine_chunks()
+        lists = ids.offsets.to_numpy()
+        flat = ids.values.to_numpy()[lists[0] : lists[-1]]
+        self.end = np.flatnonzero(flat == END)
+        self.start = np.r_[0, self.end[:-1] + 1] if len(self.end) else self.end
+        self.doc = np.searchsorted(lists - lists[0], self.start, "right") - 1
+        self.columns = features(flat)
+        n = len(self.start)
+        first = np.searchsorted(self.doc, np.arange(table.num_rows))
+        self.judged = np.array([x is not None for x in table.column(f"said_{CATEGORIES[0]}").to_pylist()], bool)[self.doc] if n else np.zeros(0, bool)
+        self.said = np.array([[x == "+" for x in table.column(f"said_{c}").to_pylist()] for c in CATEGORIES], bool).T
+        self.y = np.zeros((n, len(CATEGORIES)))
+        self.voted = np.zeros(n, bool)
+        for i, vs in enumerate(table.column("votes").to_pylist()):
+            for v in vs or ():
+                k = first[i] + v["at"]
+                self.voted[k] = True
+                for j, c in enumerate(CATEGORIES):
+                    voice = "0" if not self.judged[k] else "+" if self.said[i, j] else "-"
+                    p = v[c] + voice
+                    self.y[k, j] = models[c].posterior(p) if c in models and "+" in p[:-1] else 0.0
+        self.weight = np.where(self.voted | self.judged, 1.0, LIGHT)
+        self.posterior = self.y.copy()
+        # documents that annotators named a category for, without a voted sentence to blame
+        self.open = [sorted(set(np.flatnonzero(self.said[:, j])) - set(self.doc[self.y[:, j] >= BOUND])) for j in range(len(CATEGORIES))]
+        self.size = np.maximum(1, self.end - self.start)
+        self.fold = np.array([zlib.crc32(str(k).encode()) % 2 for k in table.column("doc_id").to_pylist()], int)[self.doc]
+
+    def blame(self, p: np.ndarray | None) -> None:
+        """New soft labels, from the probabilities of classifiers that did not see the sentence's document.
+
+        At first they are even in open documents. Then an open document's highest sentence has
+        the annotators' word if the classifier supports it, so that what no other document
+        bears out is taken for an annotator's error. Sentences that nobody judged and the
+        label model is unsure of move half way to the classifier.
+        """
+        free = ~self.voted
+        for j, docs in enumerate(self.open):
+            if p is not None:
+                self.y[:, j] = self.posterior[:, j]
+                unsure = self.voted & ~self.judged & (self.y[:, j] > 1 - ANNOTATOR) & (self.y[:, j] < ANNOTATOR)
+                self.y[unsure, j] = (self.y[unsure, j] + p[unsure, j]) / 2
+                sure = free & (p[:, j] >= BOUND) & (~self.judged | self.said[self.doc, j])
+                self.y[sure, j] = p[sure, j]
+            for d in docs:
+                at = np.arange(*np.searchsorted(self.doc, [d, d + 1]))
+                at = at[free[at]]
+                if len(at) and p is None:
+                    self.y[at, j] = min(0.5, 2 / len(at))
+                elif len(at):
+                    best = at[p[at, j].argmax()]
+                    self.y[at, j] = np.minimum(p[at, j], BOUND)
+                    self.y[best, j] = ANNOTATOR if p[best, j] >= SUPPORT else p[best, j]
+
+
+class Classifier:
+    """Logistic regression on the sample's features, by Adam; features of the sample only have weights."""
+
+    def __init__(self, sample: Sample) -> None:
+        self.s = sample
+        self.known, back = np.unique(np.concatenate(sample.columns), return_inverse=True)
+        self.cols = back.reshape(3, -1)
+        self.free = self.known != SIZE
+        k = len(CATEGORIES)
+        self.w, self.bias = np.zeros((len(self.known), k), np.float32), np.full(k, -3.0, np.float32)
+        self.m, self.v, self.t = np.zeros((len(self.known) + 1, k), np.float32), np.zeros((len(self.known) + 1, k), np.float32), 0
+
+    def logits(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, features, sentence of each feature) of the sentences at."""
+        n = self.s.size[at]
+        place = np.repeat(self.s.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row = np.tile(np.repeat(np.arange(len(at)), n), 3)
+        col = self.cols[:, place].ravel()
+        z = np.stack([np.bincount(row, self.w[col, k], len(at)) for k in range(self.w.shape[1])], axis=1)
+        return z * share(n)[:, None] + self.bias, col, row
+
+    def train(self, epochs: int, rows: np.ndarray | None = None, rate: float = 0.03, decay: float = 2e-5, batch: int = 4096) -> None:
+        rng = np.random.default_rng(17 + self.t)
+        rows = np.arange(len(self.s.start)) if rows is None else rows
+        for _ in range(epochs):
+            order = rng.permutation(rows)
+            for lo in range(0, len(rows), batch):
+                at = order[lo : lo + batch]
+                z, col, row = self.logits(at)
+                g = (1 / (1 + np.exp(-z)) - self.s.y[at]) * self.s.weight[at, None] / len(at)
+                part = g * share(self.s.size[at])[:, None]
+                grad = np.stack([np.bincount(col, part[row, k], len(self.known)) for k in range(g.shape[1])], axis=1)
+                grad = np.vstack([grad + decay * self.w, g.sum(axis=0)]).astype(np.float32)
+                grad[:-1][~self.free] = 0
+                self.t += 1
+                self.m = 0.9 * self.m + 0.1 * grad
+                self.v = 0.999 * self.v + 0.001 * grad * grad
+                step = rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+                self.w -= step[:-1]
+                self.bias -= step[-1]
+
+    def probabilities(self) -> np.ndarray:
+        out = [1 / (1 + np.exp(-self.logits(np.arange(lo, min(lo + 20_000, len(self.s.start))))[0])) for lo in range(0, len(self.s.start), 20_000)]
+        return np.concatenate(out) if out else np.zeros((0, len(CATEGORIES)))
+
+    def weights(self) -> np.ndarray:
+        """SIZE + 2 rows: one a feature, that of no feature, the bias."""
+        w = np.zeros((SIZE + 2, len(CATEGORIES)), np.float32)
+        w[self.known] = self.w
+        w[SIZE] = 0
+        w[-1] = self.bias
+        return w
+
+
+def fit(table: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict[str, LabelModel]]:
+    """(weights of the classifier, the label models), from the table of read()."""
+    none = F.lit(None).cast("string")
+    held = table.join(judgements(labels), "doc_id", "left") if labels is not None else table.withColumns({f"said_{c}": none for c in CATEGORIES})
+    voted = held.select(F.explode("votes").alias("v"), *(F.coalesce(f"said_{c}", F.lit("0")).alias(f"said_{c}") for c in CATEGORIES))
+    kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.concat(f"v.{c}", f"said_{c}").alias("p")) for c in CATEGORIES))).alias("x")
+    seen = voted.select(F.col("v.h").alias("h"), kinds).where(F.col("x.p").rlike(r"^[-0+]*\+[-0+]*[-0+]$")).distinct().groupBy("x.c", "x.p").agg(F.count("*").alias("n")).orderBy("c", "p").collect()
+    models = {c: LabelModel([r["p"] for r in rows], [r["n"] for r in rows]) for c in CATEGORIES if (rows := [r for r in seen if r["c"] == c])}
+    if not models:
+        w = np.zeros((SIZE + 2, len(CATEGORIES)), np.float32)
+        w[-1] = -10  # nothing speaks for any category
+        return w, models
+    named = " or ".join(f"said_{c} = '+'" for c in CATEGORIES)
+    kind = F.when(F.col(f"said_{CATEGORIES[0]}").isNull(), 0).when(F.expr(named), 1).otherwise(2)
+    held = held.withColumn("kind", kind)
+    n = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((0, OTHERS), (1, JUDGED), (2, JUDGED))}
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    picked = None
+    for k, s in share.items():
+        part = held.where((F.col("kind") == k) & (h < int(s * (1 << 30)))).select("doc_id", "ids", "votes", *(f"said_{c}" for c in CATEGORIES)).limit(2 * max(JUDGED, OTHERS))
+        picked = part if picked is None else picked.union(part)
+    sample = Sample(picked.toArrow(), models)
+    return train(sample).weights(), models
+
+
+def train(sample: Sample) -> Classifier:
+    """The classifier of a sample; the sentences to blame are found with two classifiers, each of one half of the documents and asked about the other."""
+    sample.blame(None)
+    halves = [Classifier(sample), Classifier(sample)]
+    for _ in range(ROUNDS):
+        for k, half in enumerate(halves):
+            half.train(EPOCHS, np.flatnonzero(sample.fold != k))
+        p = [half.probabilities() for half in halves]
+        sample.blame(np.where(sample.fold[:, None] == 0, p[0], p[1]))
+    model = Classifier(sample)
+    model.train(2 * EPOCHS)
+    return model
 
 
 def scores(documents: DataFrame, labels: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -453,45 +594,32 @@ def scores(documents: DataFrame, labels: DataFrame | None = None, text: str = "t
     Null ids are dropped. A document sent twice is one row with the higher scores. Without
     any voted sentence in the corpus all scores are about 0.
     """
-    table = cut(vote_table(documents, labels, text))
-    weights, _ = fit(table)
-    release(table)
-    sent = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    table = cut(read(documents, text))
+    weights, _ = fit(table, labels)
+    sent = documents.sparkSession.sparkContext.broadcast(weights)
     key = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                order, starts, docs, extra, extra_at = [], [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    for s in sentences(t or ""):
-                        v, tokens, said = votes(s)
-                        if tokens is None:
-                            tokens = TOKEN.findall(said)
-                        if tokens:
-                            ids, more = words_of(v, tokens)
-                            if more:
-                                extra += more
-                                extra_at += [len(starts)] * len(more)
-                            starts.append(len(order))
-                            docs.append(i)
-                            order += ids
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                lists = part.column(1)
+                offsets = lists.offsets.to_numpy()
+                ids = lists.values.to_numpy()[offsets[0] : offsets[-1]]
                 out = np.zeros((part.num_rows, len(CATEGORIES)))
-                if order:
-                    first = np.array(starts)
-                    one, two = features(np.array(order, np.int64), first)
-                    z = w[one]
-                    z[:-1] += np.where((two <= MASK)[:, None], w[np.minimum(two, MASK)], 0)
-                    z = np.add.reduceat(z, first, axis=0) + w[-1]
-                    if extra:
-                        np.add.at(z, extra_at, w[np.array(extra, np.int64) & MASK])
-                    np.maximum.at(out, docs, 1 / (1 + np.exp(-z.astype(np.float64))))
+                if len(ids):
+                    one, start, two = features(ids)
+                    z = w[one] + w[start] + w[two]
+                    end = np.flatnonzero(ids == END)
+                    first = np.r_[0, end[:-1] + 1]
+                    z = np.add.reduceat(z, first, axis=0) * share(end - first)[:, None] + w[-1]
+                    np.maximum.at(out, np.searchsorted(offsets - offsets[0], first, "right") - 1, 1 / (1 + np.exp(-z.astype(np.float64))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[:, k]) for k in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
 
-    scored = documents.where("doc_id is not null").select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{c} double" for c in CATEGORIES))
-    return scored.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CATEGORIES))
+    scored = table.select("doc_id", "ids").mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{c} double" for c in CATEGORIES))
+    wordless = documents.where(F.col("doc_id").isNotNull() & F.col(text).isNull()).select("doc_id", *(F.lit(0.0).alias(c) for c in CATEGORIES))
+    return scored.union(wordless).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CATEGORIES))
 
 
 def flagged(scored: DataFrame, bound: float = BOUND) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empties, ties, repeats and clashing names."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -317,33 +318,67 @@ def test_mixing_by_a_public_tokenizer(spark):
 
 
 # 10 toxicity
-@pytest.mark.parametrize("word", ["id1ot", "i-d-i-o-t", "i d i o t", "idiooooot", "id*ot", "IDIOT", "idiots", "i.d.i.o.t"])
+def said(text):
+    """The votes on the sentences of a text, in order."""
+    tokens = toxicity.Tokens()
+    return toxicity.self_votes(tokens, tokens.entries(toxicity.prepared(text)), toxicity.hints())
+
+
+@pytest.mark.parametrize("word", ["id1ot", "i-d-i-o-t", "i d i o t", "idiooooot", "id*ot", "IDIOT", "idiots", "i.d.i.o.t", "id\u200biot", "#diot", "idio_", "(idiot)..."])
 def test_disguised_terms(word):
-    v, _, _ = toxicity.votes(f"you are an {word.lower()}!")
-    assert v["abuse"][0] == 1
+    (v,) = said(f"Fine so far. You are an {word}! More here.")
+    assert v["abuse"][0] == "+" and v["at"] == 1
+    assert (v["abuse"][1] == "+") == (word.strip("().").lower().rstrip("s") != "idiot" and "\u200b" not in word)
 
 
-def test_no_disguise_passes_the_filter():
-    assert all(toxicity.unmask(f"they are {x} to us")[1] for x in ("#rash", "subhuma_", "nud3"))
+def test_no_disguise_escapes():
     digits = str.maketrans("oieast", "013457")
-    tokens = {f"{t[:i]}{x}{t[i + 1 :]}{end}" for t in toxicity.CLASSES for i in range(len(t)) for x in ["@", "#", "*", "$", "_", "!", "%", "&", "+", "?", t[i].translate(digits)] for end in ("", "s")}
-    for token in tokens:
-        for s in (f"they are {token} to us", f"so ({token})."):
-            found = toxicity._unmask(s)
-            assert toxicity.unmask(s)[1] == found[1] and (not found[1] or toxicity.unmask(s) == found)
-    assert {"#rash", "subhuma_", "nud3"} <= tokens
+    for t in toxicity.CLASSES:
+        for i in range(len(t)) if len(t) > 2 else ():
+            for x in ["@", "#", "*", "$", "_", "%", "&", "+", t[i].translate(digits)]:
+                token = f"{t[:i]}{x}{t[i + 1 :]}"
+                assert any("+" in v[c][0] for v in said(f"they are {token} to us") for c in toxicity.CLASSES[t]), token
+    assert said("ich will dich g e i l e in meinem bett")[0]["sexual"][:2] == "++"
+    assert said("너는 쓰 레 기 야")[0]["abuse"][0] == "+"
 
 
 def test_quotes_and_contexts():
-    assert toxicity.votes("the guide removes 'you are an idiot' from posts.")[0]["abuse"][0] == 0
-    assert toxicity.votes("the index counts the rows.")[0] == {}
-    for x in re.findall(r"\w+", "shut up"):
-        assert x
+    (v,) = said("the guide removes 'you are an idiot' from posts.")
+    assert v["abuse"][0] == "0" and v["abuse"][-1] == "-"
+    assert said("the index counts the rows.") == [] and said("") == []
     hit = toxicity.hints()
     for s in ("shut your mouth", "we know where you live", "옷을 벗고", "breed like"):
         assert next(hit.iter(s), None) is not None
 
 
+def test_sentences_and_ids(spark):
+    text = "One two. Three!\n- four\n- five\n\nsix | seven 1.5 ... eight"
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, "!!! 12"), (None, "x"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.votes) for r in toxicity.read(rows).collect()}
+    ids = got[1][0]
+    assert [len(list(g)) for k, g in itertools.groupby(ids, lambda x: x == toxicity.END) if not k] == [2, 1, 1, 1, 1, 1, 1] and ids[-1] == toxicity.END
+    assert got[2] == ([], []) and got[3] == ([], []) and set(got) == {1, 2, 3}
+    assert toxicity.share(np.array([1, 24, 48])).tolist() == [1, 1, 0.5]
+
+
+def test_classifier_learns_what_no_voter_names(spark):
+    """Annotators name a category for documents with a sentence that no list holds; others with it are found."""
+    rng = random.Random(4)
+    plain = [f"The {a} of the {b} counts its {c}." for a in ("index", "ledger", "owner") for b in ("table", "page", "queue") for c in ("rows", "files", "marks")]
+    docs, labels = [], []
+    for i in range(400):
+        body = rng.sample(plain, 4)
+        kind = "implied" if i % 8 == 0 else "insult" if i % 8 == 1 else ""
+        if kind:
+            body.insert(rng.randrange(4), {"implied": "Somebody ought to visit that writer with a rope.", "insult": "You are a worthless idiot!"}[kind])
+        docs.append((i, " ".join(body)))
+        if i % 3 == 0:
+            labels.append((i, "x", "abuse" if kind else "none"))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, annotator string, category string")
+    got = {r.doc_id for r in toxicity.flagged(toxicity.scores(d, lab)).where("category = 'abuse'").collect()}
+    assert got == {i for i in range(400) if i % 8 < 2}
+
+
 def test_scores_learn_from_votes(spark):
     rng = random.Random(6)
     plain = ["The index counts the rows of the table.", "Each owner reviews one page.", "Nobody expected the filter to break."]
