@@ -13,9 +13,9 @@
    weighed down by their estimated correlations.
 4. A linear classifier on hashed words, word beginnings and word pairs, with listed terms as
    their classes, is trained on the posterior labels of the sentences of a bounded sample of
-   documents. It does not see the votes. In documents that annotators named a category for
-   without any voter's support, the sentence to blame is found in turns with the training
-   (the classifier's highest of the document), so that it learns what the lists don't name.
+   documents. It does not see the votes. In documents that annotators named a category for,
+   the sentences to blame are found in turns with the training, by classifiers of the other
+   half of the documents (multiple-instance learning), so that it learns what no list names.
 5. The classifier scores every sentence of every document from the written ids; a document's
    score per category is the highest of its sentences.
 
@@ -39,15 +39,17 @@ from leafspark.llm.lexicon import BESIDE, CATEGORIES, PATTERNS, SECOND_PERSON, T
 from leafspark.session import cut, release
 
 #: Documents of the sample: those that annotators named a category for, those they cleared, and others.
-JUDGED, OTHERS = 1_500, 1_500
+JUDGED, OTHERS = 3_000, 1_500
 #: Sizes of the feature hash for words and pairs, and for word beginnings.
 WORDS, PAIRS, STARTS = 1 << 17, 1 << 18, 1 << 15
 BOUND = 0.5
 ANNOTATOR, UNJUDGED, SHRINK = 0.9, 0.1, 20
 #: Weight in the training of sentences without votes in documents that nobody judged, and rounds of training and blaming.
-LIGHT, ROUNDS, EPOCHS = 0.3, 3, 6
-#: Probability that a classifier which did not see a document must give a sentence of it for the annotators' word to hold for it.
-SUPPORT = 0.1
+LIGHT, ROUNDS, EPOCHS = 0.3, 4, 5
+#: Weight that a sentence gains in the training with its label, as few are to blame.
+RARE = 3
+#: Probability of a sentence at first, in a document that annotators named a category for, and from where on sentences nobody judged follow the classifier.
+START, DOUBT = 0.05, 0.1
 #: The words of a longer sentence share the weight of so many.
 FULL_LENGTH = 24
 #: Distinct tokens that a worker keeps.
@@ -462,36 +464,35 @@ class Sample:
                     self.y[k, j] = models[c].posterior(p) if c in models and "+" in p[:-1] else 0.0
         self.weight = np.where(self.voted | self.judged, 1.0, LIGHT)
         self.posterior = self.y.copy()
-        # documents that annotators named a category for, without a voted sentence to blame
-        self.open = [sorted(set(np.flatnonzero(self.said[:, j])) - set(self.doc[self.y[:, j] >= BOUND])) for j in range(len(CATEGORIES))]
+        self.posterior = self.y.copy()
         self.size = np.maximum(1, self.end - self.start)
         self.fold = np.array([zlib.crc32(str(k).encode()) % 2 for k in table.column("doc_id").to_pylist()], int)[self.doc]
 
     def blame(self, p: np.ndarray | None) -> None:
         """New soft labels, from the probabilities of classifiers that did not see the sentence's document.
 
-        At first they are even in open documents. Then an open document's highest sentence has
-        the annotators' word if the classifier supports it, so that what no other document
-        bears out is taken for an annotator's error. Sentences that nobody judged and the
-        label model is unsure of move half way to the classifier.
+        In a document that annotators named a category for, each sentence without votes is to
+        blame with its probability, given that at least one sentence of the document is or
+        the annotators erred: what other documents bear out is blamed, the rest taken for an
+        error. Sentences that nobody judged follow the classifier from DOUBT on, and half
+        way where the label model is unsure of their votes.
         """
+        p = np.full(self.y.shape, START) if p is None else np.clip(p, 1e-6, 1 - 1e-6)
         free = ~self.voted
-        for j, docs in enumerate(self.open):
-            if p is not None:
-                self.y[:, j] = self.posterior[:, j]
-                unsure = self.voted & ~self.judged & (self.y[:, j] > 1 - ANNOTATOR) & (self.y[:, j] < ANNOTATOR)
-                self.y[unsure, j] = (self.y[unsure, j] + p[unsure, j]) / 2
-                sure = free & (p[:, j] >= BOUND) & (~self.judged | self.said[self.doc, j])
-                self.y[sure, j] = p[sure, j]
-            for d in docs:
-                at = np.arange(*np.searchsorted(self.doc, [d, d + 1]))
-                at = at[free[at]]
-                if len(at) and p is None:
-                    self.y[at, j] = min(0.5, 2 / len(at))
-                elif len(at):
-                    best = at[p[at, j].argmax()]
-                    self.y[at, j] = np.minimum(p[at, j], BOUND)
-                    self.y[best, j] = ANNOTATOR if p[best, j] >= SUPPORT else p[best, j]
+        for j in range(len(CATEGORIES)):
+            y = self.posterior[:, j].copy()
+            unsure = self.voted & ~self.judged & (y > 1 - ANNOTATOR) & (y < ANNOTATOR)
+            y[unsure] = (y[unsure] + p[unsure, j]) / 2
+            own = np.where(self.voted, y, p[:, j])
+            named = self.said[self.doc, j]
+            none = np.exp(np.bincount(self.doc, np.log1p(-np.minimum(own, 1 - 1e-6)), len(self.said)))[self.doc]  # that no sentence of the document is
+            right = ANNOTATOR * (1 - none) / (ANNOTATOR * (1 - none) + (1 - ANNOTATOR) * none)
+            y[free] = 0.0
+            at = free & named
+            y[at] = own[at] * right[at] / np.maximum(1 - none[at], 1e-6)
+            at = free & ~self.judged & (own >= DOUBT)
+            y[at] = own[at] if p.min() < p.max() else 0.0
+            self.y[:, j] = np.minimum(y, 1 - 1e-3)
 
 
 class Classifier:
@@ -523,7 +524,7 @@ class Classifier:
             for lo in range(0, len(rows), batch):
                 at = order[lo : lo + batch]
                 z, col, row = self.logits(at)
-                g = (1 / (1 + np.exp(-z)) - self.s.y[at]) * self.s.weight[at, None] / len(at)
+                g = (1 / (1 + np.exp(-z)) - self.s.y[at]) * self.s.weight[at, None] * (1 + RARE * self.s.y[at]) / len(at)
                 part = g * share(self.s.size[at])[:, None]
                 grad = np.stack([np.bincount(col, part[row, k], len(self.known)) for k in range(g.shape[1])], axis=1)
                 grad = np.vstack([grad + decay * self.w, g.sum(axis=0)]).astype(np.float32)
@@ -584,7 +585,7 @@ def train(sample: Sample) -> Classifier:
         p = [half.probabilities() for half in halves]
         sample.blame(np.where(sample.fold[:, None] == 0, p[0], p[1]))
     model = Classifier(sample)
-    model.train(2 * EPOCHS)
+    model.train(3 * EPOCHS)
     return model
 
 
