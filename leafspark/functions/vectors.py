@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,20 +39,26 @@ def normalize(a: Column) -> Column:
 
 
 def to_bytes(a: Column) -> Column:
-    """Little-endian float32 bytes."""
+    """Little-endian float32 bytes; null for a null vector. The batch's values are the buffer, nothing is done by row."""
 
-    @F.pandas_udf("binary")
-    def pack(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in s:
-            yield x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def pack(v: pa.Array) -> pa.Array:
+        at = v.offsets.to_numpy()
+        flat = np.ascontiguousarray(v.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], "<f4")
+        return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((4 * (at - at[0])).astype(np.int32)), pa.py_buffer(flat)])
 
-    return pack(a)
+    return F.when(a.isNotNull(), pack(F.coalesce(a.cast("array<float>"), F.array().cast("array<float>"))))
 
 
 def from_bytes(b: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def unpack(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in s:
-            yield x.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))
+    """The vector of such bytes; null for null and for a length that is no multiple of four."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(v: pa.Array) -> pa.Array:
+        _, at, data = v.buffers()
+        at = np.frombuffer(at, np.int32)[v.offset : v.offset + len(v) + 1]
+        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].tobytes() if data is not None else b""
+        return pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(np.frombuffer(flat, "<f4"), pa.float32()))
 
-    return unpack(b)
+    whole = b.isNotNull() & (F.length(b) % 4 == 0)
+    return F.when(whole, unpack(F.when(whole, b).otherwise(F.lit(b""))))

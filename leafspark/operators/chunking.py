@@ -1,4 +1,4 @@
-"""Header-aware splitting as windows over lines.
+"""Header-aware splitting.
 
 Setting a header level clears all deeper ones, so the deepest open level is the previous
 header's: a header starts a chunk if its level is a split level, a header came before, and
@@ -7,12 +7,14 @@ its level is not deeper than that one's.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.functions.text import WS, chunk_id, is_blank, strip, token_count
+from leafspark.functions import kernels
+from leafspark.functions.text import WS, is_blank, strip
 from leafspark.operators.lines import explode_lines, joined, upto
 
 HEADER = rf"(?s)^(#{{1,6}}){WS}+(.+)\z"
@@ -53,11 +55,48 @@ def raw_chunks(docs: DataFrame, split_levels: Iterable[int] = LEVELS) -> DataFra
 
 
 def split(docs: DataFrame, split_levels: Iterable[int] = LEVELS) -> DataFrame:
-    """Chunks of every document without oversize handling; blank documents give no row.
+    """Chunks of every document without oversize handling; blank documents, null ids and null texts give no row.
 
-    Columns: doc_id, chunk_id, content, h1..h6, original_position, token_count.
+    Columns: doc_id, chunk_id, content, h1..h6, original_position, token_count. The rules are
+    those of raw_chunks(); as a document is one row, they run in the scan's tasks, without a
+    shuffle. A document sent twice gives its chunks twice.
     """
-    return raw_chunks(docs, split_levels).select("doc_id", chunk_id(F.col("content"), F.col("original_position")).alias("chunk_id"), "content", *HEADS, "original_position", token_count(F.col("content")).alias("token_count"))
+    return chunk_rows(docs, split_levels).drop("sub_index", "strategy")
+
+
+def chunk_rows(docs: DataFrame, split_levels: Iterable[int] = LEVELS, limit: int | None = None) -> DataFrame:
+    """The chunks of split() with sub_index and strategy, those over the limit cut by kernels.pieces()."""
+    levels = frozenset(split_levels)
+    if not levels or not levels <= set(LEVELS):
+        raise ValueError("split levels are within 1 and 6")
+    key = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, of, rows = b.slice(at, 500), [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    for position, content, heads in kernels.header_chunks(t, levels):
+                        own = cut_rows(kernels.chunk_id(content, position), content, kernels.tokens(content), limit)
+                        rows += [(c, text, *heads, position, n, sub, how) for c, text, n, sub, how in own]
+                        of += [i] * len(own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(ROW_KINDS), ROW_KINDS))], names=["doc_id", *ROW_NAMES])
+
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {key}, {ROW_SCHEMA}")
+
+
+ROW_SCHEMA = "chunk_id string, content string, h1 string, h2 string, h3 string, h4 string, h5 string, h6 string, original_position int, token_count int, sub_index int, strategy string"
+ROW_NAMES = [x.split()[0] for x in ROW_SCHEMA.split(", ")]
+ROW_KINDS = [pa.int32() if x.endswith(" int") else pa.string() for x in ROW_SCHEMA.split(", ")]
+
+
+def cut_rows(chunk: str | None, content: str, n: int, limit: int | None) -> list[tuple]:
+    """(chunk_id, content, token_count, sub_index, strategy) of a chunk, or of its pieces if it is over the limit."""
+    how, parts = kernels.pieces(content, limit) if limit is not None and n > limit else ("keep", [])
+    mark = "-d" if how == "depth" else "-"
+    named = lambda i: None if chunk is None else f"{chunk}{mark}{i}"
+    return [(named(i), p, kernels.tokens(p), i, how) for i, p in enumerate(parts)] or [(chunk, content, n, None, how)]
 
 
 def split_statistics(chunks: DataFrame) -> DataFrame:

@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.functions.vectors import dot, norm, usable
+from leafspark.functions.vectors import usable
 from leafspark.session import cut, release
 
 #: Rows of a block on one side of a task's pairs.
-PAIR_ROWS = 500
+PAIR_ROWS = 8_000
 STRATEGIES = ("first", "longest", "best_metadata")
 
 
-def pairwise(chunks: DataFrame, block: str, item: str, vec: str = "embedding") -> DataFrame:
-    """(block, i, j, sim) with i < j for the usable vectors of each block: an equi-join on the block, never a cross join.
+def pairwise(chunks: DataFrame, block: str, item: str, vec: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """(block, i, j, sim) with i < j for the usable vectors of each block, of equal width; from the threshold on, if there is one.
 
-    Vectors are brought to length one first, so that a pair costs one product.
+    The rows of a block are split by a salt of at most about PAIR_ROWS, and every pair of
+    salts is one task with one matrix product, from which only the pairs at or over the
+    threshold leave. A row is sent as often as its block has salts, once for a small block.
+    Without a threshold all pairs of a block come out: for blocks of a document's size.
     """
-    n = norm(F.col(vec))
-    base = chunks.where(usable(F.col(vec)))
-    unit = base.select(F.col(block).alias("block"), F.col(item).alias("i"), F.transform(vec, lambda x: x.cast("double") / n).alias("v"))
-    # one side of a large block is split by a salt, the other meets every salt: the block's pairs spread over many tasks
-    sizes = base.groupBy(F.col(block).alias("block")).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("salts"))
-    unit = unit.join(sizes, "block")
-    left = unit.withColumn("salt", F.pmod(F.hash("i"), F.col("salts")))
-    right = unit.select("block", F.col("i").alias("j"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["block", "salt"]).where((F.col("i") < F.col("j")) & (F.size("v") == F.size("w"))).select("block", "i", "j", dot(F.col("v"), F.col("w")).alias("sim"))
+    kinds = dict(chunks.dtypes)
+    base = chunks.where(usable(F.col(vec)) & F.col(item).isNotNull()).select(F.col(block).alias("block"), F.col(item).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.size(vec).alias("width"))
+    sizes = base.groupBy("block", "width").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("salts"))
+    salted = base.join(sizes.withColumnRenamed("block", "_b").withColumnRenamed("width", "_w"), F.col("block").eqNullSafe(F.col("_b")) & (F.col("width") == F.col("_w")))
+    own = salted.withColumn("s", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    least = -2.0 if threshold is None else float(threshold)
+
+    def compare(table: pa.Table) -> pa.Table:
+        s, t = table.column("s").to_numpy(), table.column("t").to_numpy()
+        items = table.column("i").combine_chunks()
+        place = pa.compute.rank(items, tiebreaker="dense").to_numpy()
+        width = table.column("width")[0].as_py()
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        left = np.flatnonzero(s <= t)
+        right = np.flatnonzero(s >= t)
+        out: list[tuple] = []
+        for at in range(0, len(left), 512):
+            q = left[at : at + 512]
+            sim = x[q] @ x[right].T
+            a, b = np.nonzero(sim >= least - 1e-12)
+            v, a, b = sim[a, b], q[a], right[b]
+            once = place[a] < place[b] if left is right or (len(left) and s[left[0]] == t[left[0]]) else place[a] != place[b]
+            a, b, v = a[once], b[once], v[once]
+            flip = place[a] > place[b]
+            out.append((np.where(flip, b, a), np.where(flip, a, b), v))
+        i, j, v = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"block": table.column("block").take(pa.array(np.zeros(len(i), int))), "i": items.take(pa.array(i)), "j": items.take(pa.array(j)), "sim": pa.array(v)})
+
+    keys = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
+    return own.groupBy("block", "width", *keys).applyInArrow(compare, f"block {kinds[block]}, i {kinds[item]}, j {kinds[item]}, sim double")
 
 
 def duplicate_pairs(chunks: DataFrame, block: str, item: str, threshold: float = 0.85, vec: str = "embedding") -> DataFrame:
     if not 0 <= threshold <= 1:
         raise ValueError("threshold is within 0 and 1")
-    return pairwise(chunks, block, item, vec).where(F.col("sim") >= threshold)
+    return pairwise(chunks, block, item, vec, threshold)
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
@@ -91,6 +120,31 @@ def report(chunks: DataFrame, chosen: DataFrame, block: str, dry_run: bool = Fal
     return j.select("block", "original_count", left.cast("long").alias("deduplicated_count"), removed.alias("removed_count"), groups.alias("n_groups"), F.round(share, 6).alias("reduction_percentage"))
 
 
+def report_text(chunks: DataFrame, chosen: DataFrame, block: str, dry_run: bool = False, most_groups: int = 100) -> DataFrame:
+    """(block, report) as text: the counts, the groups with up to 3 of their items, and up to 10 removed items.
+
+    Groups come in the order of their smallest item, at most most_groups of a block with the
+    number of the others. Whole lists are the rows of representatives() themselves.
+    """
+    counts = report(chunks, chosen, block, dry_run)
+    text = lambda c: F.col(c).cast("string")
+    in_group = Window.partitionBy("block", "group_id").orderBy("item")
+    shown = chosen.withColumn("k", F.row_number().over(in_group)).where("k <= 3").groupBy("block", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item"))), lambda x: x["item"].cast("string")), ", ").alias("ids"))
+    sizes = chosen.groupBy("block", "group_id").agg(F.count("*").alias("n"))
+    line = F.concat(F.lit("  "), text("n"), F.lit(" chunks: "), "ids", F.when(F.col("n") > 3, ", ...").otherwise(""))
+    order = Window.partitionBy("block").orderBy("group_id")
+    groups = shown.join(sizes, ["block", "group_id"]).withColumn("line", line).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_groups)
+    groups = groups.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    gone = chosen.where("not keep").withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("item"))).where("k <= 10")
+    gone = gone.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item"))), lambda x: x["item"].cast("string")), ", ").alias("removed"))
+    j = counts.join(groups, "block", "left").join(gone, "block", "left")
+    head = F.format_string("Chunks: %d, after deduplication: %d, removed: %d (%.1f %%)\nGroups of duplicates: %d\n", "original_count", "deduplicated_count", "removed_count", "reduction_percentage", "n_groups")
+    more = F.when(F.col("n_groups") > most_groups, F.concat(F.lit("\n  and "), (F.col("n_groups") - most_groups).cast("string"), F.lit(" more groups"))).otherwise("")
+    left = F.when(F.col("removed_count") > 10, F.concat(F.lit(", and "), (F.col("removed_count") - 10).cast("string"), F.lit(" more"))).otherwise("")
+    body = F.when(F.col("n_groups") > 0, F.concat("lines", more, F.lit("\nRemoved: "), "removed", left, F.lit("\n"))).otherwise("")
+    return j.select("block", F.concat(head, body).alias("report"))
+
+
 def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(text_hash, keep_id, n): texts that occur more than once, with the smallest id."""
     return docs.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("text_hash")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")

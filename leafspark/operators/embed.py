@@ -1,19 +1,22 @@
 """Embedding with a cache table and pluggable embedders.
 
 An embedder is a callable from a list of texts to a list of vectors. It runs inside Arrow
-batches, is built once a worker, and a text it fails on gets a null vector and an error.
+batches, is loaded once a task, and a text it fails on gets a null vector and an error.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions.text import text_hash, words
+from leafspark.session import cut
 
 Embedder = Callable[[list[str]], list[list[float]]]
 _MODELS: dict[str, Callable[[], Embedder]] = {}
@@ -32,6 +35,26 @@ def model_exists(name: str) -> bool:
     return name in _MODELS
 
 
+def load_model(name: str, attempts: int = 3, wait: float = 1.0) -> Embedder:
+    """The embedder of a registered model; a failed load is tried again after a wait that doubles."""
+    if name not in _MODELS:
+        raise ValueError(f"no such model: {name}; there are {available_models()}")
+    return _loaded(_MODELS[name], attempts, wait)
+
+
+def _loaded(load: Callable[[], Embedder], attempts: int, wait: float) -> Embedder:
+    if attempts < 1:
+        raise ValueError("attempts must be at least 1")
+    for k in range(attempts):
+        try:
+            return load()
+        except Exception:
+            if k == attempts - 1:
+                raise
+            time.sleep(wait * 2**k)
+    raise AssertionError
+
+
 def hashing_vector(text: F.Column, dim: int = 64) -> F.Column:
     """A bag of words of signed hash counts at length one, in the JVM; null for a blank text."""
     if dim < 1:
@@ -46,26 +69,43 @@ def hashing_vector(text: F.Column, dim: int = 64) -> F.Column:
     return bind(cells, lambda v: bind(norm(v), lambda n: unit(v, n)))
 
 
-def embed(texts: DataFrame, model: str, column: str = "content") -> DataFrame:
-    """Adds embedding and embed_error by a registered model; a failed batch is tried again text by text."""
+def embed(texts: DataFrame, model: str, column: str = "content", batch_size: int = 64, attempts: int = 3, progress: Accumulator | None = None) -> DataFrame:
+    """Adds embedding and embed_error by a registered model.
+
+    Texts go to the model in batches; if one fails, or gives another number of vectors, its
+    texts are tried one by one, and those that fail have a null embedding and an error. Blank
+    and null texts are not asked for. The model is loaded once a task, with retries; if it
+    can't be loaded the task fails. progress is added the number of texts of each batch.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
     if model not in _MODELS:
         raise ValueError(f"no such model: {model}; there are {available_models()}")
     load = _MODELS[model]
 
     @F.pandas_udf("struct<embedding: array<float>, embed_error: string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        f = load()
+        f = _loaded(load, attempts, 1.0)
 
-        def one(t: str | None) -> tuple:
-            if t is None or not t.strip():
-                return None, "blank text"
+        def ask(group: list[str]) -> list[tuple]:
             try:
-                return np.asarray(f([t])[0], np.float32), None
+                vectors = f(group)
+                if len(vectors) != len(group):
+                    raise ValueError(f"{len(vectors)} vectors for {len(group)} texts")
+                return [(np.asarray(v, np.float32), None) for v in vectors]
             except Exception as e:
-                return None, str(e)[:200]
+                return [(None, str(e)[:200])] if len(group) == 1 else [x for t in group for x in ask([t])]
 
         for batch in batches:
-            yield pd.DataFrame([one(t) for t in batch], columns=["embedding", "embed_error"])
+            out = [(None, "blank text")] * len(batch)
+            full = [i for i, t in enumerate(batch) if t is not None and t.strip()]
+            for at in range(0, len(full), batch_size):
+                group = full[at : at + batch_size]
+                for i, x in zip(group, ask([batch.iloc[i] for i in group])):
+                    out[i] = x
+                if progress is not None:
+                    progress.add(len(group))
+            yield pd.DataFrame(out, columns=["embedding", "embed_error"])
 
     return texts.withColumn("_e", run(F.col(column))).select(*texts.columns, "_e.embedding", "_e.embed_error")
 
@@ -79,6 +119,23 @@ def cache_misses(chunks: DataFrame, cache: DataFrame, model: str, column: str =
     return asked.join(held, ["model", "text_hash"], "left_anti")
 
 
+def embed_cached(chunks: DataFrame, cache: DataFrame, model: str, column: str = "content", force_refresh: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(chunks with embedding, new rows (model, text_hash, vector) for the cache).
+
+    Each distinct text that the cache lacks is embedded once, and written to the shared folder
+    so that both results see the same vectors; append the new rows to the cache table. A
+    failed text stays without an embedding and is asked for again the next time. Of repeated
+    cache rows the largest vector counts.
+    """
+    done = embed(cache_misses(chunks, cache.where("vector is not null"), model, column, force_refresh), model, "text", **options)
+    new = cut(done.where("embedding is not null").select("model", "text_hash", F.col("embedding").alias("vector")))
+    old = cache.where((F.col("model") == model) & F.col("vector").isNotNull()).select("model", "text_hash", F.col("vector").cast("array<float>").alias("vector"))
+    old = old.join(new.select("text_hash"), "text_hash", "left_anti").select("model", "text_hash", "vector") if force_refresh else old
+    held = old.union(new).groupBy("text_hash").agg(F.max("vector").alias("embedding"))
+    out = chunks.drop("embedding").withColumn("text_hash", text_hash(F.col(column), 16)).join(held, "text_hash", "left").drop("text_hash")
+    return out, new
+
+
 def cache_statistics(chunks: DataFrame, cache: DataFrame, model: str, column: str = "content") -> DataFrame:
     """(requests, hits, misses, hit_rate): a request hits if its key is cached or was asked for before."""
     asked = chunks.where(F.col(column).isNotNull()).groupBy(text_hash(F.col(column), 16).alias("text_hash")).agg(F.count("*").alias("n"))
@@ -88,7 +145,12 @@ def cache_statistics(chunks: DataFrame, cache: DataFrame, model: str, column: st
     return s.select("requests", (F.col("requests") - F.col("misses")).alias("hits"), "misses", F.when(F.col("requests") > 0, (F.col("requests") - F.col("misses")) / F.col("requests")).otherwise(0.0).alias("hit_rate"))
 
 
-def attach(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks with the embedding of their id; without one it is null. Of repeated ids the last vector in order stays."""
-    one = vectors.groupBy(key).agg(F.max("embedding").alias("embedding"))
+def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with the embedding of their key; without one it is null. Of repeated keys the largest vector stays.
+
+    The key is doc_id and chunk_id, as a chunk_id alone has 32 bits and occurs in several
+    documents; it is chunk_id alone for vectors that were saved without a document.
+    """
+    key = ["doc_id", "chunk_id"] if "doc_id" in vectors.columns else ["chunk_id"]
+    one = vectors.groupBy(*key).agg(F.max("embedding").alias("embedding"))
     return chunks.drop("embedding").join(one, key, "left")

@@ -1,17 +1,20 @@
 """Oversized chunks: list items, greedy packing, and the cascade of strategies.
 
-Items come from an explode and windows within a chunk; packing is a fold over the chunk's own
-array of items, so everything stays in the JVM and no chunk meets another. Only the chunks
-over the limit pass through.
+The cascade runs on whole chunks where they are scanned, without a shuffle. The single steps
+also stand alone: items come from an explode and windows within a chunk, packing is a fold
+over the chunk's own array of items, in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspark.functions.text import WS, is_blank, token_count
-from leafspark.operators.chunking import HEADS, split
+from leafspark.operators.chunking import HEADS, ROW_KINDS, ROW_NAMES, ROW_SCHEMA, chunk_rows, cut_rows
 from leafspark.operators.lines import joined, upto
 
 LIST_START = rf"^{WS}*(?:[-*]|\d+\.){WS}+"
@@ -94,33 +97,33 @@ def split_oversized(chunks: DataFrame, limit: int = 1000) -> DataFrame:
     more than one group. Else five or more items: by items, even if one group stays. Else
     three or more paragraphs: by paragraphs. Else the chunk stays. Not recursive, so a piece
     may still exceed the limit. Pieces take over headers and position; their tokens are
-    counted anew.
+    counted anew. Every chunk is cut where it is scanned: no join and no shuffle. A null
+    token_count or content counts as within the limit.
     """
-    over = chunks.where(F.col("token_count") > limit)
-    items = list_items(over)
-    facts = items.groupBy(*KEY).agg(F.count("*").alias("n_items"), F.max("depth").alias("deepest"), F.sum((F.col("depth") == 0).cast("int")).alias("n_top"))
-    deep = pack_by_depth(over, limit).select(*KEY, F.col("n_groups").alias("n_deep"), F.col("pieces").alias("deep"))
-    flat = pack_list_items(over, limit).select(*KEY, F.col("n_groups").alias("n_flat"), F.col("pieces").alias("flat"))
-    paras = paragraphs(over)
-    n_paras = paras.groupBy(*KEY).agg(F.count("*").alias("n_paras"))
-    by_para = _packed(paras, limit, "\\n\\n").select(*KEY, F.col("n_groups").alias("n_by_para"), F.col("pieces").alias("by_para"))
-    j = over.join(facts, KEY, "left").join(deep, KEY, "left").join(flat, KEY, "left").join(n_paras, KEY, "left").join(by_para, KEY, "left")
-    strategy = (
-        F.when((F.col("n_items") >= 5) & (F.col("deepest") > 0) & (F.col("n_top") >= 2) & (F.col("n_deep") > 1), "depth")
-        .when((F.col("n_items") >= 5) & (F.col("n_flat") > 1), "list")
-        .when(F.col("n_items") >= 5, "keep")
-        .when((F.col("n_paras") >= 3) & (F.col("n_by_para") > 1), "paragraph")
-        .otherwise("keep")
-    )
-    pieces = F.when(F.col("strategy") == "depth", F.col("deep")).when(F.col("strategy") == "list", F.col("flat")).when(F.col("strategy") == "paragraph", F.col("by_para")).otherwise(F.array("content"))
-    cut = j.withColumn("strategy", strategy).select(*KEY, *HEADS, "token_count", "strategy", F.posexplode(pieces).alias("i", "piece"))
-    kept = F.col("strategy") == "keep"
-    suffix = F.when(F.col("strategy") == "depth", F.concat(F.lit("-d"), F.col("i").cast("string"))).otherwise(F.concat(F.lit("-"), F.col("i").cast("string")))
-    new = cut.select("doc_id", F.when(kept, F.col("chunk_id")).otherwise(F.concat("chunk_id", suffix)).alias("chunk_id"), F.col("piece").alias("content"), *HEADS, "original_position", F.when(~kept, F.col("i")).alias("sub_index"), F.when(kept, F.col("token_count")).otherwise(token_count(F.col("piece"))).alias("token_count"), "strategy")
-    rest = chunks.where((F.col("token_count") <= limit)).select("doc_id", "chunk_id", "content", *HEADS, "original_position", F.lit(None).cast("int").alias("sub_index"), "token_count", F.lit("keep").alias("strategy"))
-    return rest.union(new)
+    kinds = dict(chunks.dtypes)
+    names = ["doc_id", *ROW_NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, of, rows = b.slice(at, 500), [], []
+                for i, (c, t, n) in enumerate(zip(*(part.column(k).to_pylist() for k in ("chunk_id", "content", "token_count")))):
+                    own = cut_rows(c, t, n, limit if t is not None and n is not None else None)
+                    rows += own
+                    of += [i] * len(own)
+                at_ = pa.array(of, pa.int32())
+                new = dict(zip(["chunk_id", "content", "token_count", "sub_index", "strategy"], zip(*rows))) if rows else {}
+                made = {k: pa.array(new.get(k, ()), kind) for k, kind in zip(ROW_NAMES, ROW_KINDS) if k in ("chunk_id", "content", "token_count", "sub_index", "strategy")}
+                yield pa.RecordBatch.from_arrays([made[k] if k in made else part.column(k).take(at_) for k in names], names=names)
+
+    held = chunks.select(*KEY, "content", *HEADS, F.col("token_count").cast("int").alias("token_count"))
+    types = ", ".join(f"{n} {kinds[n]}" if n in kinds and n != "token_count" else x for n, x in zip(names, ["doc_id bigint", *ROW_SCHEMA.split(", ")]))
+    return held.mapInArrow(run, types).select(*ORDER)
+
+
+ORDER = ["doc_id", "chunk_id", "content", *HEADS, "original_position", "sub_index", "token_count", "strategy"]
 
 
 def split_documents(docs: DataFrame, limit: int = 1000, split_levels=(1, 2, 3, 4, 5, 6)) -> DataFrame:
-    """Header split and oversize handling together."""
-    return split_oversized(split(docs, split_levels), limit)
+    """Header split and oversize handling together, in one pass over the texts."""
+    return chunk_rows(docs, split_levels, limit).select(*ORDER)

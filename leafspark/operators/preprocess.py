@@ -1,17 +1,21 @@
-"""Promoting stand-alone bold lines to headings, as windows over the lines of a document.
+"""Promoting stand-alone bold lines to headings.
 
-All windows share one partitioning and order, so a plan has one exchange and one sort.
+Whole texts are rewritten in the scan's tasks; where the title lines are the result they come
+from windows that share one partitioning and order, so that a plan has one exchange and sort.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafspark.functions import kernels
 from leafspark.functions.text import WS, is_blank, strip, words
-from leafspark.operators.lines import explode_lines, joined, upto
+from leafspark.operators.lines import explode_lines, upto
 
 BOLD = rf"(?s)^{WS}*\*\*(.+?)\*\*{WS}*\z"
 #: The ordered branch holds a literal caret, as the reproduced behaviour does: ordered items are no list here.
@@ -84,6 +88,16 @@ def to_heading(text: F.Column, level: F.Column) -> F.Column:
 
 
 def preprocess(docs: DataFrame, options: PreprocessOptions = PreprocessOptions()) -> DataFrame:
-    """(doc_id, text) with promoted headings; all other lines stay byte by byte. Null ids and texts give no row."""
-    new = F.coalesce(to_heading(F.col("title"), F.col("level")), F.col("line"))
-    return bold_titles(docs, options).withColumn("new_line", new).groupBy("doc_id").agg(joined("new_line", "line_no").alias("text"))
+    """(doc_id, text) with promoted headings; all other lines stay byte by byte. Null ids and texts give no row.
+
+    One pass without a shuffle: a document is one row. A document sent twice gives two rows.
+    """
+    o = options
+    args = (o.max_title_length, o.require_empty_lines, o.min_capitalization_ratio, o.detect_title_case, o.preserve_code_blocks, o.preserve_lists, o.preserve_tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kernels.promote(t, *args) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")

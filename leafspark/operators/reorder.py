@@ -33,21 +33,30 @@ def chain(x: np.ndarray) -> list[int]:
 
 
 def average_linkage(d: np.ndarray, k: int) -> list[int]:
-    """Flat clusters, at most k, by average linkage: merges go in order of height, and equal heights merge together."""
+    """Flat clusters, at most k, by average linkage: merges go in order of height, and equal heights merge together.
+
+    Merges are found along chains of nearest neighbours, in time in proportion to n x n.
+    """
     n = len(d)
-    d = d.astype(float).copy()
+    d = (d + d.T) / 2  # a chain ends only where distances are the same both ways
     np.fill_diagonal(d, np.inf)
-    alive, size, merges = np.ones(n, bool), np.ones(n), []
-    for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
-        merges.append((d[i, j], i, j))
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
+    size, merges, path, alive = np.ones(n), [], [], np.ones(n, bool)
+    while len(merges) < n - 1:
+        path = path or [int(alive.argmax())]
+        i = path[-1]
+        j = int(d[i].argmin())
+        if len(path) < 2 or d[i, path[-2]] > d[i, j]:
+            path.append(j)
+            continue
+        a, b = sorted(path[-2:])
+        del path[-2:]
+        merges.append((d[a, b], a, b))
+        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        row[[a, b]] = np.inf
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        alive[b] = False
     return _flat(n, merges, k)
 
 
@@ -120,13 +129,16 @@ def cluster_order_of_vectors(x: np.ndarray) -> list[int]:
     return sorted(range(len(x)), key=lambda i: (label[i], i))
 
 
-def reorder(chunks: DataFrame, block: str, item: str, strategy: str = "sequential", vec: str = "embedding", max_items: int = 5_000) -> DataFrame:
+def reorder(chunks: DataFrame, block: str, item: str, strategy: str = "sequential", vec: str = "embedding", max_items: int = 5_000, strict: bool = False) -> DataFrame:
     """(block, item, new_position): a permutation of each block's usable items; item is the order to start from.
 
-    Blocks without usable vectors give no row; blocks over max_items are clustered without a matrix.
+    Blocks without usable vectors give no row; blocks over max_items are clustered without a
+    matrix, with the same result. strict raises if there is nothing to reorder.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
+    if strict and chunks.where(usable(F.col(vec))).isEmpty():
+        raise ValueError("nothing to reorder")
     kinds = dict(chunks.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
