@@ -20,7 +20,8 @@
    score per category is the highest of its sentences.
 
 What reaches the driver is the table of vote patterns (at most 3 to the number of voters per
-category) and the sample: at most 2 x (JUDGED + JUDGED + OTHERS) documents.
+category) and the sample: at most 2 x (JUDGED + JUDGED + OTHERS) documents, whatever the
+size of the corpus.
 """
 
 from __future__ import annotations
@@ -551,9 +552,9 @@ class Classifier:
 
 def fit(table: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict[str, LabelModel]]:
     """(weights of the classifier, the label models), from the table of read()."""
-    none = F.lit(None).cast("string")
-    held = table.join(judgements(labels), "doc_id", "left") if labels is not None else table.withColumns({f"said_{c}": none for c in CATEGORIES})
-    voted = held.select(F.explode("votes").alias("v"), *(F.coalesce(f"said_{c}", F.lit("0")).alias(f"said_{c}") for c in CATEGORIES))
+    names = [f"said_{c}" for c in CATEGORIES]
+    said = cut(judgements(labels)) if labels is not None else table.limit(0).select("doc_id", *(F.lit("-").alias(x) for x in names))
+    voted = table.select("doc_id", F.explode("votes").alias("v")).join(said, "doc_id", "left").select("v", *(F.coalesce(x, F.lit("0")).alias(x) for x in names))
     kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.concat(f"v.{c}", f"said_{c}").alias("p")) for c in CATEGORIES))).alias("x")
     seen = voted.select(F.col("v.h").alias("h"), kinds).where(F.col("x.p").rlike(r"^[-0+]*\+[-0+]*[-0+]$")).distinct().groupBy("x.c", "x.p").agg(F.count("*").alias("n")).orderBy("c", "p").collect()
     models = {c: LabelModel([r["p"] for r in rows], [r["n"] for r in rows]) for c in CATEGORIES if (rows := [r for r in seen if r["c"] == c])}
@@ -561,16 +562,14 @@ def fit(table: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict[st
         w = np.zeros((SIZE + 2, len(CATEGORIES)), np.float32)
         w[-1] = -10  # nothing speaks for any category
         return w, models
-    named = " or ".join(f"said_{c} = '+'" for c in CATEGORIES)
-    kind = F.when(F.col(f"said_{CATEGORIES[0]}").isNull(), 0).when(F.expr(named), 1).otherwise(2)
-    held = held.withColumn("kind", kind)
-    n = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((0, OTHERS), (1, JUDGED), (2, JUDGED))}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = None
-    for k, s in share.items():
-        part = held.where((F.col("kind") == k) & (h < int(s * (1 << 30)))).select("doc_id", "ids", "votes", *(f"said_{c}" for c in CATEGORIES)).limit(2 * max(JUDGED, OTHERS))
-        picked = part if picked is None else picked.union(part)
+    few = lambda df, n, most: df.where(h < int(min(1.0, most / max(1, n)) * (1 << 30)))
+    named = F.expr(" or ".join(f"{x} = '+'" for x in names))
+    parts = [few(part, part.count(), JUDGED).limit(2 * JUDGED) for part in (said.where(named), said.where(~named))]
+    keys = F.broadcast(parts[0].union(parts[1]))  # at most 4 x JUDGED rows
+    judged = table.join(keys, "doc_id").select("doc_id", "ids", "votes", *names)
+    others = few(table, table.count(), OTHERS).join(said.select("doc_id"), "doc_id", "left_anti").limit(2 * OTHERS)
+    picked = judged.union(others.select("doc_id", "ids", "votes", *(F.lit(None).cast("string") for _ in names)))
     sample = Sample(picked.toArrow(), models)
     return train(sample).weights(), models
 
