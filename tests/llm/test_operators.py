@@ -39,6 +39,25 @@ def test_groups_agree_with_union_find(spark, seed):
     assert {r.chunk_id: r.group_id for r in groups.match_groups(pairs).collect()} == unions([(a, b) for a, b in edges if a != b])
 
 
+@pytest.mark.parametrize("core", [0, 200_000])
+def test_groups_with_a_hub_rings_and_long_chains(spark, monkeypatch, core):
+    """A hub with a third of all edges, split by salts; rings; a chain of 300; with and without contraction of the core."""
+    monkeypatch.setattr(groups, "CORE_EDGES", core)
+    monkeypatch.setattr(groups, "HOT_ROWS", 20)
+    monkeypatch.setattr(groups, "HOT", 10)
+    rng = random.Random(9)
+    name = [f"{i:05d}" for i in rng.sample(range(99999), 2000)]
+    edges = [(name[0], name[i]) for i in range(1, 300)] + [(name[i], name[i + 1]) for i in range(400, 700)]
+    edges += [(name[i], name[700 + (i - 699) % 7]) for i in range(700, 707)] + [(name[i], name[710 + (i - 709) % 2]) for i in (710, 711)]
+    edges += [(name[1], name[720]), (name[720], name[2]), (name[500], name[720])] + [(rng.choice(name[800:900]), rng.choice(name[800:900])) for _ in range(150)]
+    rows = [(min(a, b), max(a, b)) for a, b in edges if a != b]
+    df = spark.createDataFrame([*rows, *rows[:5]], "u string, v string")
+    assert {r.x: r.group for r in groups.connected_groups(df).collect()} == unions(rows)
+    number = {x: i for i, x in enumerate(sorted(name))}
+    whole = spark.createDataFrame([(number[a], number[b]) for a, b in rows], "u long, v long")
+    assert {r.x: r.group for r in groups.connected_groups(whole).collect()} == unions([(number[a], number[b]) for a, b in rows])
+
+
 def test_groups_of_nothing(spark):
     assert groups.match_groups(spark.createDataFrame([], "chunk_a string, chunk_b string, sim double")).count() == 0
 
