@@ -9,17 +9,18 @@ Latent semantic retrieval with exact checks:
 3. Every window of RUN words of every document that holds enough words of the vocabulary is
    projected (by running sums of its words' latent vectors) and compared by cosine with all
    item passages. Candidates are the items whose passage reaches the bound.
-4. The bound is calibrated on the items: every window of RUN words of every item is projected
-   in the same way, and the bound is the least cosine with which any of them finds a passage
-   of its own item. A verbatim run of RUN words in a document is such a window, word by word,
-   so the search cannot miss one.
+4. Each item has its own bound, calibrated on it: every window of RUN words of the item is
+   projected in the same way, and the bound is the least cosine with which any of them finds
+   a passage of the item. A verbatim run of RUN words in a document is such a window, word by
+   word, so the search cannot miss one.
 5. Candidates are checked: equal runs of RUN words, or, for paraphrases, the longest common
    subsequence of the item passage and the document's words around the window, together with
    the item's answer words (numbers and rare words), of which a paraphrase keeps most. The
    latter goes over every window and passage from the cosine NEAR on, whatever the bound is.
 
-The items are the stated query set. They are taken in blocks of ITEM_BLOCK items, so what the
-driver holds and each task gets is bounded; documents are only ever streamed through tasks.
+The items are the stated query set. They are taken in blocks of ITEM_BLOCK items, PASS_BLOCKS
+of which share a pass over the documents, so what the driver holds and each task gets is
+bounded; documents are only ever streamed through tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 RUN, PASSAGE, RANK = 12, 24, 64
-ITEM_BLOCK = 2_000
+ITEM_BLOCK, PASS_BLOCKS = 2_000, 4
 #: A window's words in the vocabulary from which on it is compared, for paraphrases.
 LEAST_KNOWN = 9
 #: A paraphrase needs this cosine, share of the passage in the common subsequence, and share of its answer words.
@@ -103,14 +104,15 @@ class _Items:
         p = np.stack([self.latent[t].sum(axis=0) for t in self.spans])
         self.passages = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         self.runs: dict[bytes, set[int]] = defaultdict(set)
-        low = 1.0
+        low = np.full(len(self.ids), np.inf, np.float32)
         for i, t in enumerate(self.ids):
             for g in _grams(t):
                 self.runs[g].add(i)
             if len(t) >= RUN:
                 w = windows(self.latent[t])
-                low = min(low, float((w @ self.passages[self.owner == i].T).max(axis=1).min()))
-        self.bound = low - 1e-3
+                low[i] = (w @ self.passages[self.owner == i].T).max(axis=1).min() - 1e-3
+        self.bound = low[self.owner]
+        self.least = np.minimum(self.bound, NEAR)
         rare = np.quantile(self.idf, 0.5) if len(self.idf) else 0
         names = np.array([w.isdigit() or self.idf[j] > rare for w, j in self.vocabulary.items()] + [False])
         self.answers = [set(t[names[t]].tolist()) for t in self.spans]
@@ -171,7 +173,7 @@ def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
         w = windows(block.latent[part])[starts]
         for lo in range(0, len(w), 2048):
             s = w[lo : lo + 2048] @ block.passages.T
-            row, passage = np.divmod(np.flatnonzero(s >= min(block.bound, NEAR)), s.shape[1])
+            row, passage = np.divmod(np.flatnonzero(s >= block.least), s.shape[1])
             if not len(row):
                 continue
             cosine = s[row, passage]
@@ -185,7 +187,8 @@ def search(ids: np.ndarray, block: _Items) -> dict[int, tuple[str, int, float]]:
                 asked[p] = bool(answers) and len(answers & there) >= ANSWER_SHARE * len(answers)
             near = near[asked[passage[near]]]
             near = near[np.argsort(passage[near], kind="stable")]
-            row, passage, at_near, p_near = row[cosine >= block.bound], passage[cosine >= block.bound], at + starts[lo + row[near]], passage[near]
+            at_near, p_near = at + starts[lo + row[near]], passage[near]
+            row, passage = (x[cosine >= block.bound[passage]] for x in (row, passage))
             whole = run[at + starts[lo + row] + RUN] - run[at + starts[lo + row]] == RUN
             grams: dict[int, bytes] = {}
             for r, p in zip(row[whole].tolist(), passage[whole].tolist()):
@@ -253,31 +256,33 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     n = asked.count()
     blocks = max(1, -(-n // ITEM_BLOCK))
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    out = None
+    out, sent = None, []
     for k in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         rows = [(r["item_id"], r["text"]) for r in rows if words(r["text"])]
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(_Items(rows, spark, docs))
-        one = docs.mapInArrow(_searcher(sent), schema)
-        out = one if out is None else out.union(one)
+        if rows:
+            sent.append(spark.sparkContext.broadcast(_Items(rows, spark, docs)))
+        if sent and (len(sent) == PASS_BLOCKS or k == blocks - 1):
+            one = docs.mapInArrow(_searcher(sent), schema)
+            out, sent = one if out is None else out.union(one), []
     if out is None:
         return spark.createDataFrame([], schema)
     best = F.max(F.struct(F.when(F.col("kind") == "verbatim", 1).otherwise(0).alias("k"), "run_words", "cosine", "kind"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.kind", "b.run_words", "b.cosine")
 
 
-def _searcher(sent):
+def _searcher(sent: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        get = block.vocabulary.get
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array([get(w, -1) for w in words(t)], np.int32)
-                if len(ids) >= RUN:
-                    rows += [(k, block.keys[i], kind, n, c) for i, (kind, n, c) in search(ids, block).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.int64() if all(isinstance(x, int) for x in block.keys) else pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.float64())], names=["doc_id", "item_id", "kind", "run_words", "cosine"])
+            texts = [(k, words(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            for block in (x.value for x in sent):
+                get, rows = block.vocabulary.get, []
+                for k, t in texts:
+                    ids = np.array([get(w, -1) for w in t], np.int32)
+                    if len(ids) >= RUN:
+                        rows += [(k, block.keys[i], kind, n, c) for i, (kind, n, c) in search(ids, block).items()]
+                item = pa.int64() if all(isinstance(x, int) for x in block.keys) else pa.string()
+                kinds = [b.column(0).type, item, pa.string(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, p) for x, p in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "item_id", "kind", "run_words", "cosine"])
 
     return run

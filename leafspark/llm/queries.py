@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import clusters, groups, leakage, markup, mixing, neighbours, pieces, repetition, survivors, toxicity
+from leafspark.session import cut
+
+#: File of the public tokenizer that the queries in its tokens use.
+TOKENIZER = os.environ.get("LEAFSPARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -85,14 +90,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.rates(mixing.with_tokens(_t(spark, d, "documents")), _t(spark, d, "mix_targets")).where("not feasible").select("mix_id", "source")
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.with_tokens(_t(spark, d, "documents"))
-    return mixing.reached(sized, mixing.rates(sized, _t(spark, d, "mix_targets")))
+def _sized(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens counted once, for the several uses of a mix."""
+    return cut(mixing.with_tokens(_t(spark, d, "documents"), tokenizer))
+
+
+def p9_shares(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    sized = _sized(spark, d, tokenizer)
+    return mixing.reached(sized, cut(mixing.rates(sized, _t(spark, d, "mix_targets"))))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.with_tokens(_t(spark, d, "documents"))
-    return mixing.draw(sized, mixing.rates(sized, _t(spark, d, "mix_targets")))
+    """Every document of every mix, once a copy."""
+    sized = _sized(spark, d)
+    return mixing.emit(sized, cut(mixing.rates(sized, _t(spark, d, "mix_targets"))))
+
+
+def p9_tokenizer_shares(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_shares, in tokens of a public tokenizer."""
+    return p9_shares(spark, d, TOKENIZER)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +120,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+    """All queries; those in tokens of a public tokenizer only where its file is."""
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and ("tokenizer" not in k or os.path.exists(TOKENIZER))}
 
 
 _LINKS = r"""links AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (

@@ -305,7 +305,7 @@ def test_paraphrase_behind_a_closer_window_and_under_the_verbatim_bound(spark):
     got = {r.doc_id: r.kind for r in leakage.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert got.get(1) == "paraphrase" and 2 not in got
     block = leakage._Items([(7, item)], spark, docs)
-    block.bound = 1.1
+    block.bound = np.full(len(block.owner), 1.1)
     ids = np.array([block.vocabulary.get(w, -1) for w in leakage.words(near)], np.int32)
     assert leakage.search(ids, block)[0][0] == "paraphrase"
 
@@ -315,7 +315,7 @@ def test_common_subsequence():
 
 
 # 9 mixing
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " A " if i % 2 else "a", "w " * 10) for i in range(2000)] + [(5000 + i, "b", "w " * 10) for i in range(100)] + [(9000, None, "w"), (9001, "a", None), (9002, "a", "")], "doc_id long, source string, text string")
     t = spark.createDataFrame([(1, "A", 0.5, 1, 0.5), (1, "b", 0.5, 2, 0.5), (1, "A", 0.5, 1, 0.5), (2, "none", 0.5, 3, 0.1), (3, "b", 0.08, 3, 1.0), (4, None, 0.1, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
     sized = mixing.with_tokens(docs)
@@ -328,6 +328,11 @@ def test_mixing(spark):
     assert set(copies) <= {1, 2} and abs(sum(copies) * 13 / (0.08 * total) - 1) < 0.15
     assert mixing.draw(sized, r).orderBy("mix_id", "doc_id").collect() == mixing.draw(sized.repartition(7), r).orderBy("mix_id", "doc_id").collect()
     assert mixing.rates(sized.where("false"), t).where("rate > 0").count() == 0
+    emitted = {(x.mix_id, x.doc_id): x["count"] for x in mixing.emit(sized, r).groupBy("mix_id", "doc_id").count().collect()}
+    drawn = {(x.mix_id, x.doc_id): x.copies for x in mixing.draw(sized, r).collect()}
+    assert emitted == drawn
+    monkeypatch.setattr(mixing, "TARGET_ROWS", 1)
+    assert {(x.mix_id, x.doc_id): x.copies for x in mixing.draw(sized, r).collect()} == drawn
 
 
 def test_mixing_by_a_public_tokenizer(spark):
