@@ -160,9 +160,10 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors packed to bytes and back."""
-    v = _vectors(spark, d).withColumn("b", V.to_bytes(F.col("embedding")))
-    return v.select("vec_id", F.length("b").alias("n_bytes"), (V.from_bytes(F.col("b")) == F.col("embedding")).alias("same"))
+    """Vectors packed to bytes and back: the length, the sum and the sum weighted by place of what comes back."""
+    v = _vectors(spark, d).withColumn("b", V.to_bytes(F.col("embedding"))).withColumn("w", V.from_bytes(F.col("b")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    return v.select("vec_id", F.length("b").alias("n_bytes"), F.round(total(F.transform("w", lambda x: x.cast("double"))), 6).alias("total"), F.round(total(F.transform("w", lambda x, i: x.cast("double") * (i + 1))), 6).alias("weighted"))
 
 
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +230,7 @@ def dedup_exact_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     both = reorder.similarity_matrix(dedup.pairwise(_vectors(spark, d), "label", "vec_id"))
-    return both.groupBy("block", "i").agg(F.count("*").alias("n"), F.round(F.max("sim"), 6).alias("closest"))
+    return both.select("block", "i", "j", F.round("sim", 6).alias("sim"))
 
 
 def sequential_reorder(spark: SparkSession, d: str) -> DataFrame:
@@ -311,14 +312,17 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attach_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with the width of its vector and the sum of its finite values."""
     all_chunks = spark.read.parquet(f"{d}/chunks.parquet")
-    vectors = all_chunks.where("embedding is not null").select("chunk_id", "embedding")
-    return embed.attach(_chunks(spark, d), vectors).select("doc_id", "chunk_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("n"), F.col("embedding").isNotNull().alias("attached"))
+    vectors = all_chunks.where("embedding is not null").select("doc_id", "chunk_id", "embedding")
+    finite = F.filter("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    total = F.aggregate(finite, F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return embed.attach(_chunks(spark, d), vectors).select("doc_id", "chunk_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("n"), F.round(total, 4).alias("total"))
 
 
 def chunk_dict_round_trip(spark: SparkSession, d: str) -> DataFrame:
     chunks = spark.read.parquet(f"{d}/chunks.parquet").select("doc_id", "chunk_id", "content", *files.META, F.lit(None).cast("array<float>").alias("embedding")).distinct()
-    return files.from_dict(files.to_dict(chunks)).select("doc_id", "chunk_id", "content", "h1", "original_position", "token_count", "element_type")
+    return files.from_dict(files.to_dict(chunks)).drop("embedding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -104,6 +104,10 @@ def statements(limit: int, threshold: float) -> dict[str, str]:
     qsim = "list_inner_product(a.v, CAST(q.v AS DOUBLE[])) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(q.v AS DOUBLE[]))))"
     seq = r"TRY_CAST(nullif(regexp_extract(content, '(?i)(Stage|Step|Phase)\s+(\d+)', 2), '') AS BIGINT)"
     heads_used = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN bool_or(h{k} <> '') THEN 'h{k}' END" for k in range(1, 7)) + "], lambda x: x IS NOT NULL), ',')"
+    head = lambda k: f"CASE WHEN vec_id % {k + 1} = 0 THEN 'H{k} ' || vec_id % 5 END AS h{k}"
+    found = f"""{PAIRS}, z AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, {qsim} AS sim, 'vector ' || vec_id || repeat('.', vec_id % 17) AS content, {", ".join(map(head, range(1, 7)))} FROM e a, q),
+f AS (SELECT *, row_number() OVER (ORDER BY sim DESC, chunk_id) AS rank FROM z WHERE sim >= 0.1 ORDER BY rank LIMIT 5)"""
+    after = f"{w}{titles()}, {split('prep').replace('lines AS (', 'lines2 AS (', 1).replace('FROM lines)', 'FROM lines2)')} SELECT * FROM split"
     out = {
         "document_lines": f"{w}{lines()} SELECT doc_id, count(*) AS n_lines, CAST(max(length(line)) AS INTEGER) AS longest FROM lines GROUP BY doc_id",
         "header_lines": f"{w}{headers()} SELECT doc_id, line_no, level, header FROM heads WHERE level IS NOT NULL",
@@ -118,7 +122,7 @@ def statements(limit: int, threshold: float) -> dict[str, str]:
         "text_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS short_hash, sha256(text) AS full_hash FROM documents",
         "bold_titles": f"{w}{titles()} SELECT doc_id, line_no, title, level FROM titles WHERE title IS NOT NULL",
         "preprocess_text": f"{w}{titles()} SELECT doc_id, text FROM prep",
-        "preprocess_then_split": f"{w}{titles()}, {split('prep').replace('lines AS (', 'lines2 AS (', 1).replace('FROM lines)', 'FROM lines2)')} SELECT * FROM split",
+        "preprocess_then_split": after,
         "list_items": f"{w}{split()}, {items()} SELECT doc_id, original_position, idx, item, dep AS depth, CASE WHEN dep > 0 THEN (SELECT max(b.idx) FROM items b WHERE b.doc_id = a.doc_id AND b.original_position = a.original_position AND b.idx < a.idx AND b.dep = a.dep - 1) END AS parent_idx, t AS tokens FROM items a",
         "pack_paragraphs": f"WITH RECURSIVE {split()}, {paras()}, {fold('r', 'paras', limit, NN)} SELECT * FROM r",
         "pack_list_items": f"WITH RECURSIVE {split()}, {items()}, {fold('r', 'items', limit, NL)} SELECT * FROM r",
@@ -137,8 +141,8 @@ UNION ALL SELECT doc_id, chunk_id, content, {HEADS}, original_position, NULL, to
         "cosine_pairs": f"{w}{pairs} SELECT block, i, j, round(sim, 6) AS sim FROM p",
         "batch_cosine": f"{w}{PAIRS} SELECT vec_id, round({qsim}, 6) AS sim FROM e a, q",
         "cosine_normalized": f"{w}{PAIRS} SELECT vec_id, round(list_inner_product(a.v, CAST(q.v AS DOUBLE[])), 6) AS sim FROM e a, q",
-        "vector_norms": f"{w}{PAIRS} SELECT vec_id, round(sqrt(list_inner_product(v, v)), 5) AS norm, 1.0::DOUBLE AS unit_norm FROM e",
-        "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, true AS same FROM embeddings",
+        "vector_norms": f"{w}{PAIRS}, u AS (SELECT vec_id, sqrt(list_inner_product(v, v)) AS n, list_transform(v, lambda x: CAST(x / sqrt(list_inner_product(v, v)) AS DOUBLE)) AS u FROM e) SELECT vec_id, round(n, 5) AS norm, round(sqrt(list_inner_product(u, u)), 5) AS unit_norm FROM u",
+        "vector_bytes": f"{w}{PAIRS} SELECT vec_id, CAST(4 * len(v) AS INTEGER) AS n_bytes, round(list_sum(v), 6) AS total, round(list_inner_product(v, CAST(range(1, len(v) + 1) AS DOUBLE[])), 6) AS weighted FROM e",
         "search_topk": f"{w}{PAIRS}, s AS (SELECT vec_id, {qsim} AS sim FROM e a, q) SELECT CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS INTEGER) AS rank, vec_id, round(sim, 6) AS sim FROM s WHERE sim >= 0.1 ORDER BY rank LIMIT 10",
         "search_topk_per_label": f"{w}{PAIRS}, s AS (SELECT vec_id, label, {qsim} AS sim FROM e a, q), r AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS INTEGER) AS rank, vec_id, round(sim, 6) AS sim FROM s) SELECT * FROM r WHERE rank <= 3",
         "dup_pairs": f"{w}{dups} SELECT block, i, j, round(sim, 6) AS sim FROM d",
@@ -149,7 +153,7 @@ UNION ALL SELECT doc_id, chunk_id, content, {HEADS}, original_position, NULL, to
         "deduplicated": f"{first} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT item FROM k WHERE NOT keep)",
         "dedup_report": f"{first}, n AS (SELECT label AS block, count(*) AS original_count FROM embeddings GROUP BY label), r AS (SELECT block, sum(CASE WHEN keep THEN 0 ELSE 1 END) AS removed, sum(CASE WHEN keep THEN 1 ELSE 0 END) AS groups FROM k GROUP BY block) SELECT block, original_count, CAST(original_count - coalesce(removed, 0) AS BIGINT) AS deduplicated_count, CAST(coalesce(removed, 0) AS BIGINT) AS removed_count, CAST(coalesce(groups, 0) AS BIGINT) AS n_groups, round(coalesce(removed, 0) / original_count * 100, 6) AS reduction_percentage FROM n LEFT JOIN r USING (block)",
         "dedup_exact_documents": "SELECT sha256(text) AS text_hash, min(doc_id) AS keep_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
-        "similarity_matrix": f"{w}{pairs}, m AS (SELECT block, i, sim FROM p UNION ALL SELECT block, j, sim FROM p) SELECT block, i, count(*) AS n, round(max(sim), 6) AS closest FROM m GROUP BY block, i",
+        "similarity_matrix": f"{w}{pairs} SELECT block, i, j, round(sim, 6) AS sim FROM p UNION ALL SELECT block, j, i, round(sim, 6) FROM p",
         "adjacent_similarity": f"{w}{PAIRS}, o AS (SELECT *, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM e) SELECT label AS block, count(*) AS n, round(coalesce(avg(CASE WHEN u IS NOT NULL THEN list_inner_product(u, v) / (sqrt(list_inner_product(u, u)) * sqrt(list_inner_product(v, v))) END), 1.0), 6) AS avg_adjacent FROM o GROUP BY label",
         "reconstruct_markdown": f"{w}{split()}, o AS (SELECT doc_id, {strip('content')} AS body, original_position, row_number() OVER (PARTITION BY doc_id ORDER BY original_position) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM split), t AS (SELECT doc_id, string_agg('<!-- Original position: ' || original_position || ', Reordered position: ' || place || ' -->' || chr(10) || chr(10) || body || (CASE WHEN place < n - 1 THEN chr(10) ELSE '' END), chr(10) ORDER BY place) AS t FROM o GROUP BY doc_id) SELECT doc_id, t || chr(10) AS text FROM t",
         "section_sizes": f"{w}{split()} SELECT doc_id, {named('h1')} AS s1, {named('h2')} AS s2, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS tokens, min(original_position) AS first_position, sum(token_count) > 200 AS oversized FROM split GROUP BY ALL",
@@ -167,7 +171,20 @@ SELECT doc_id, s1, s2, s3 AS h3, CAST(sub AS INTEGER) AS subsection, t AS tokens
         "chunks_by_h2": f"{w}{CHUNKS} SELECT {named('h1')} AS s1, {named('h2')} AS s2, count(*) AS n_chunks, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens FROM c GROUP BY ALL ORDER BY n_chunks DESC, s1, s2 LIMIT 10",
         "embed_cache_misses": f"{w}{CHUNKS} SELECT DISTINCT 'mdembed-base' AS model, substr(sha256(content), 1, 16) AS text_hash FROM c WHERE content IS NOT NULL AND substr(sha256(content), 1, 16) NOT IN (SELECT text_hash FROM emb_cache WHERE model = 'mdembed-base' AND text_hash IS NOT NULL)",
         "embed_cache_stats": f"{w}{CHUNKS}, a AS (SELECT substr(sha256(content), 1, 16) AS h, count(*) AS n FROM c WHERE content IS NOT NULL GROUP BY ALL), s AS (SELECT CAST(sum(n) AS BIGINT) AS requests, CAST(sum(CASE WHEN h IN (SELECT text_hash FROM emb_cache WHERE model = 'mdembed-base' AND text_hash IS NOT NULL) THEN 0 ELSE 1 END) AS BIGINT) AS misses FROM a) SELECT requests, requests - misses AS hits, misses, round((requests - misses) / requests, 6) AS hit_rate FROM s",
-        "attach_embeddings": f"{w}{CHUNKS}, v AS (SELECT chunk_id, max(len(embedding)) AS n FROM chunks WHERE embedding IS NOT NULL GROUP BY ALL) SELECT doc_id, c.chunk_id, CAST(coalesce(n, -1) AS INTEGER) AS n, n IS NOT NULL AS attached FROM c LEFT JOIN v ON c.chunk_id = v.chunk_id",
-        "chunk_dict_round_trip": f"SELECT doc_id, chunk_id, content, h1, original_position, token_count, element_type FROM (SELECT DISTINCT doc_id, chunk_id, content, {HEADS}, original_position, token_count, parent_id, depth_level, sequence_number, is_inside_code_block, element_type FROM chunks)",
+        "attach_embeddings": f"{w}{CHUNKS}, v AS (SELECT doc_id, chunk_id, max(embedding) AS v FROM chunks WHERE embedding IS NOT NULL GROUP BY ALL) SELECT c.doc_id, c.chunk_id, CAST(coalesce(len(v), -1) AS INTEGER) AS n, round(CASE WHEN v IS NOT NULL THEN coalesce(list_sum(list_transform(list_filter(v, lambda x: x IS NOT NULL AND NOT isnan(x)), lambda x: CAST(x AS DOUBLE))), 0.0) END, 4) AS total FROM c LEFT JOIN v ON c.doc_id = v.doc_id AND c.chunk_id = v.chunk_id",
+        "chunk_dict_round_trip": f"SELECT DISTINCT doc_id, chunk_id, content, {HEADS}, original_position, token_count, parent_id, depth_level, sequence_number, is_inside_code_block, element_type FROM chunks",
+        "search_json": f"""{w}{found} SELECT '{{"count":' || count(*) || ',"results":[' || string_agg('{{"chunk_id":"' || chunk_id || '","similarity":' || round(sim, 4) || ',"content":"' || content || '","metadata":{{' || array_to_string(list_filter([{", ".join(f"""'"h{k}":"' || h{k} || '"'""" for k in range(1, 7))}, '"original_position":' || chunk_id], lambda x: x IS NOT NULL), ',') || '}}}}', ',' ORDER BY rank) || ']}}' AS json FROM f""",
+        "search_text": f"""{w}{found}, t AS (SELECT rank, '[' || rank || '] Similarity: ' || printf('%.3f', sim) || chr(10) || array_to_string(list_filter([{", ".join(f"'h{k}: ' || h{k}" for k in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS head, content FROM f)
+SELECT 'Found ' || count(*) || ' result(s):' || chr(10) || chr(10) || string_agg(head || CASE WHEN ends_with(head, chr(10)) THEN '' ELSE chr(10) END || content || chr(10), chr(10) ORDER BY rank) AS text FROM t""",
+        "section_reconstruct": f"""{w}{split()}, o AS (SELECT doc_id, h1, h2, {strip("content")} AS body, row_number() OVER k AS place, lag(h1) OVER k AS p1, lag(h2) OVER k AS p2 FROM split WINDOW k AS (PARTITION BY doc_id ORDER BY h1 NULLS FIRST, h2 NULLS FIRST, original_position, chunk_id)),
+r AS (SELECT doc_id, place, array_to_string(list_filter([CASE WHEN h1 IS NOT NULL AND (place = 1 OR h1 IS DISTINCT FROM p1) THEN '# ' || h1 END, CASE WHEN h2 IS NOT NULL AND (place = 1 OR h1 IS DISTINCT FROM p1 OR h2 IS DISTINCT FROM p2) THEN '## ' || h2 END, CASE WHEN NOT starts_with(body, '#') AND body <> '' THEN body END], lambda x: x IS NOT NULL), {NN}) AS t,
+(h1 IS NOT NULL AND (place = 1 OR h1 IS DISTINCT FROM p1)) OR (h2 IS NOT NULL AND (place = 1 OR h1 IS DISTINCT FROM p1 OR h2 IS DISTINCT FROM p2)) OR (NOT starts_with(body, '#') AND body <> '') AS has FROM o)
+SELECT doc_id, coalesce(string_agg(t, {NN} ORDER BY place) FILTER (WHERE has), '') || chr(10) AS text FROM r GROUP BY doc_id""",
+        "validate_preprocess": f"""{w}a AS (SELECT sha256(content) AS h, count(*) AS n, sum(token_count) AS t FROM ({w}{split()} SELECT * FROM split) GROUP BY h),
+b AS (SELECT sha256(content) AS h, count(*) AS n, sum(token_count) AS t FROM ({after}) GROUP BY h)
+SELECT CAST(coalesce(sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)), 0) AS BIGINT) AS lost, CAST(coalesce(sum(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)), 0) AS BIGINT) AS added, CAST(coalesce(sum(a.t), 0) AS BIGINT) AS tokens_before, CAST(coalesce(sum(b.t), 0) AS BIGINT) AS tokens_after FROM a FULL JOIN b ON a.h = b.h""",
+        "sequential_reorder": f"""WITH RECURSIVE {PAIRS}, s AS (SELECT label AS block, min(vec_id) AS item FROM e GROUP BY label), r AS (SELECT block, item, 0 AS new_position, [item] AS seen FROM s
+UNION ALL SELECT block, item, new_position, list_append(seen, item) FROM (SELECT r.block, b.vec_id AS item, r.new_position + 1 AS new_position, r.seen, row_number() OVER (PARTITION BY r.block ORDER BY {SIM} DESC, b.vec_id) AS k FROM r JOIN e a ON a.vec_id = r.item JOIN e b ON b.label = r.block WHERE NOT list_contains(r.seen, b.vec_id)) WHERE k = 1)
+SELECT block, item, CAST(new_position AS INTEGER) AS new_position FROM r""",
     }
     return out

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _WRITTEN: set[str] = set()
 
@@ -84,12 +83,3 @@ def _sweep(spark: SparkSession) -> None:
             _delete(spark, path)
     except Exception:  # the session is gone; the folder's owner cleans up
         pass
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if the frame was counted to have at most max_rows rows.
-
-    Beyond that the frame comes back unhinted, so that the join is a shuffle join.
-    The count is a job of its own: use it on frames that are cheap to count.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
