@@ -44,6 +44,8 @@ from leafspark.session import cut, release
 SAMPLE, LEAST_MEMBERS, MOST_PIVOTS = 32_000, 4, 2_048
 #: Vectors of a block of a cell, the most of a block of open vectors, and the rows aimed at in a task of small cells.
 BLOCK, OPEN_BLOCK, BIN = 16_000, 100_000, 24_000
+#: The most partitions of the comparison; more tasks share them.
+MOST_PARTITIONS = 50_000
 #: Vectors of a clustered record that one task of the medoids gets for a cluster.
 MEDOID_ROWS = 50_000
 #: Rows and columns of a product, so that it stays in the processor's cache.
@@ -312,7 +314,7 @@ def _clusters(base: DataFrame, width: int, cosine: float) -> DataFrame:
                 yield _batch(tasks.bins[p], p, role[lo : lo + 20_000], [names[i] for i in r], [None] * len(r), n[r], flat[r])
             copies = [(ids[order[k]], names[at[k]]) for k in range(len(order)) if n[at[k]] > 1 and ids[order[k]] != names[at[k]]]
             if copies:
-                yield _batch(np.array([hash_id(i) % max(1, len(tasks.bins)) for i, _ in copies]), np.full(len(copies), -1), np.full(len(copies), 3), [i for i, _ in copies], [i for _, i in copies], np.zeros(len(copies)), None)
+                yield _batch(np.array([hash_id(i) % (int(tasks.bins.max()) + 1) for i, _ in copies]), np.full(len(copies), -1), np.full(len(copies), 3), [i for i, _ in copies], [i for _, i in copies], np.zeros(len(copies)), None)
 
     def compare(table: pa.Table) -> pa.Table:
         pair, role = table.column("pair").to_numpy(), table.column("role").to_numpy()
@@ -349,6 +351,9 @@ def _clusters(base: DataFrame, width: int, cosine: float) -> DataFrame:
         return pa.concat_tables([found, twins])
 
     placed = base.mapInArrow(spread, "task int, pair int, role tinyint, id string, twin string, n bigint, v binary")
+    n_tasks = int(tasks.bins.max()) + 1
+    # a partition for every task, so that their number grows with the rows and large ones don't meet
+    placed = placed.repartitionById(n_tasks, "task") if n_tasks <= MOST_PARTITIONS else placed.repartition(MOST_PARTITIONS, "task")
     parts = cut(placed.groupBy("task").applyInArrow(compare, "record string, local string, degree bigint, twin string"))
     own_rows = parts.where("twin is null")
     found = cut(own_rows.groupBy("record").agg(F.sum("degree").alias("degree"), F.min("local").alias("label"), F.collect_set("local").alias("labels")))

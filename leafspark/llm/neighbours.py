@@ -6,6 +6,10 @@ trained to tell a vector's part. Every vector of the collection is indexed in it
 probable part; every query is sent to its PROBES most probable parts and compared there with
 all indexed vectors, in float64. The k best of the parts are merged to the k best of all.
 
+A collection with more vectors than one classifier's parts hold has a second classifier in
+each part, so that parts stay of one size up to MOST_PARTS x MOST_PARTS x PART vectors (33
+million) and grow with a 65,536th of the vectors beyond.
+
 Parts that are larger than a block are split: indexed vectors into blocks, queries into
 blocks, one task per pair, so that a part with a third of all rows is never gathered.
 """
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from leafspark.llm.clusters import hash_id, sample_matrix
 from leafspark.llm.vectors import matrix
 
-#: Rows of the fitted sample of a collection, vectors per part aimed at, the most parts.
+#: Rows of the fitted sample of a collection, vectors per part aimed at, the most parts of a classifier.
 SAMPLE, PART, MOST_PARTS = 10_000, 512, 256
+#: Vectors of a part that fit its second classifier, and coarse parts that are asked at least.
+INNER, BEAM = 4_000, 8
 PROBES = 6
 #: For neighbours at any distance, of which few are near copies, this share of the parts is searched.
 WIDE_SHARE = 0.2
@@ -107,12 +113,88 @@ def train_router(x: np.ndarray, part: np.ndarray, m: int, epochs: int = 12, rate
     return w, b
 
 
-def fit_router(x: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+class Router:
+    """Tells the most probable parts of unit vectors: by one classifier, or by a second one within each of its parts.
+
+    With a second level the parts are those of all second classifiers, and a part's
+    probability is the product of both; a vector asks the second classifiers of its most
+    probable coarse parts only.
+    """
+
+    def __init__(self, w: np.ndarray, b: np.ndarray, inner: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.w, self.b = w.astype(np.float32), b
+        self.inner = {k: (u.astype(np.float32), c) for k, (u, c) in (inner or {}).items()}
+        sizes = [len(self.inner[k][1]) if k in self.inner else 1 for k in range(len(w))]
+        self.first = np.r_[0, np.cumsum(sizes)]
+        self.size = int(self.first[-1])
+
+    def coarse(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.w.T + self.b).argmax(axis=1)
+
+    def near(self, x: np.ndarray, p: int) -> np.ndarray:
+        """The p most probable parts of every row, the best first."""
+        p = min(p, self.size)
+        z = _log_softmax(x @ self.w.T + self.b)
+        if self.inner:
+            asked = min(z.shape[1], max(BEAM, math.ceil(1.5 * p * z.shape[1] / self.size)))
+            top = np.argpartition(-z, asked - 1, axis=1)[:, :asked]
+            full = np.full((len(x), self.size), -np.inf, np.float32)
+            row, part = np.repeat(np.arange(len(x)), asked), top.ravel()
+            order = np.argsort(part, kind="stable")
+            for k, at in zip(*_runs(part[order])):
+                r = row[order[at]]
+                u, c = self.inner.get(k, (np.zeros((1, x.shape[1]), np.float32), np.zeros(1)))
+                full[r, self.first[k] : self.first[k + 1]] = z[r, k][:, None] + _log_softmax(x[r] @ u.T + c)
+            z = full
+        best = np.argpartition(-z, p - 1, axis=1)[:, :p]
+        return np.take_along_axis(best, np.argsort(-np.take_along_axis(z, best, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[slice]]:
+    """(values, where they stand) of a sorted array."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, int)
+    return x[at[:-1]].tolist() if len(x) else [], [slice(a, b) for a, b in zip(at[:-1], at[1:])]
+
+
+def fit_level(x: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) for the parts of a sample of `total` vectors."""
     m = max(1, min(MOST_PARTS, math.ceil(total / PART), len(x) // 24))
     part = balanced_parts(x, neighbour_graph(x), m) if m > 1 else np.zeros(len(x), np.int64)
     return train_router(x, part, m)
 
 
+def fit_router(rows: DataFrame, x: np.ndarray, total: int, width: int) -> Router:
+    """The router of a collection (id, v) of `total` vectors, of which x is a sample.
+
+    Where one level gives parts of more than twice PART vectors, each part gets a second one,
+    fitted in a task on about INNER of its own vectors. Their weights, at most MOST_PARTS x
+    MOST_PARTS x width numbers, come to the driver and go to the tasks.
+    """
+    w, b = fit_level(x, total)
+    if total <= 2 * PART * len(w) or len(w) < 2:
+        return Router(w, b)
+    outer, scale = Router(w, b), total / len(w) / INNER
+
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use, unit = matrix(batch.column(1), width)
+            v = batch.column(1).take(pa.array(use))
+            yield pa.RecordBatch.from_arrays([pa.array(outer.coarse(unit) if len(use) else [], pa.int32()), v], names=["part", "v"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        u, c = fit_level(matrix(table.column("v"), width)[1][: 4 * INNER], math.ceil(table.num_rows * max(1.0, scale)))
+        return pa.table({"part": table.column("part")[:1], "w": pa.array([u.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([c.tolist()], pa.list_(pa.float64()))})
+
+    few = rows.where(F.pmod(F.xxhash64("id", F.lit("inner")), F.lit(1 << 30)) < int(min(1.0, 1 / scale) * (1 << 30))).select("id", "v")
+    found = few.mapInArrow(sort_out, "part int, v array<float>").groupBy("part").applyInArrow(fit, "part int, w binary, b array<double>").collect()
+    return Router(w, b, {r["part"]: (np.frombuffer(r["w"], np.float32).reshape(-1, width), np.array(r["b"])) for r in found})
+
+
 def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, index row, cosine) of the k nearest others of each query, ties to the smaller id; x_ids are sorted."""
     where = np.searchsorted(x_ids, q_ids)
@@ -160,31 +242,32 @@ def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None,
         x = sample_matrix(own, "id", "v", r["width"], SAMPLE, r["n"])
         if not len(x):
             continue
-        w, b = fit_router(x, r["n"])
+        router = fit_router(own, x, r["n"], r["width"])
         scale = r["n"] / len(x)
-        z = x @ w.T + b
-        p = min(len(w), probes if isinstance(probes, int) else max(PROBES, math.ceil(probes * len(w))))
-        near = np.argsort(-z, axis=1)[:, :p]
-        ib = np.maximum(1, np.ceil(np.bincount(near[:, 0], minlength=len(w)) * scale / INDEX_BLOCK)).astype(int)
-        qb = np.maximum(1, np.ceil(np.bincount(near.ravel(), minlength=len(w)) * scale / QUERY_BLOCK)).astype(int)
-        routers[r["c"]] = (r["width"], w.astype(np.float32), b, p, ib, qb, first + np.r_[0, np.cumsum(ib * qb)])
+        p = min(router.size, probes if isinstance(probes, int) else max(PROBES, math.ceil(probes * router.size)))
+        near = np.concatenate([router.near(x[at : at + 2000], p) for at in range(0, len(x), 2000)])
+        ib = np.maximum(1, np.ceil(np.bincount(near[:, 0], minlength=router.size) * scale / INDEX_BLOCK)).astype(int)
+        qb = np.maximum(1, np.ceil(np.bincount(near.ravel(), minlength=router.size) * scale / QUERY_BLOCK)).astype(int)
+        routers[r["c"]] = (r["width"], router, p, ib, qb, first + np.r_[0, np.cumsum(ib * qb)])
         first += int((ib * qb).sum())
     schema = "c string, id string, neighbour string, cosine double"
     if not routers:
         return rows.sparkSession.createDataFrame([], schema + ", rank int").select(F.col("c").alias("collection"), "id", "neighbour", "cosine", "rank")
 
+    sent = rows.sparkSession.sparkContext.broadcast(routers)
+    widths_of = {c: x[0] for c, x in routers.items()}
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
-            for c in set(names.tolist()) & routers.keys():
-                width, w, bias, p, ib, qb, offset = routers[c]
+            for c in set(names.tolist()) & widths_of.keys():
+                width, router, p, ib, qb, offset = sent.value[c]
                 b = batch.take(pa.array(np.flatnonzero(names == c)))
                 use, unit = matrix(b.column(2), width)
                 if not len(use):
                     continue
-                z = unit @ w.T + bias
-                near = np.argpartition(-z, p - 1, axis=1)[:, :p]
-                top = z.argmax(1)
+                near = np.concatenate([router.near(unit[at : at + 2000], p) for at in range(0, len(unit), 2000)])
+                top = near[:, 0]
                 asks = b.column(3).to_numpy(zero_copy_only=False)[use].astype(bool)
                 h = np.array([hash_id(i) for i in b.column(1).take(pa.array(use)).to_pylist()], np.int64)
                 out_row, out_task, out_role = [], [], []
@@ -207,7 +290,7 @@ def nearest(rows: DataFrame, key: str, vec: str, collection: str | None = None,
         for role in (1, 2):
             t = table.filter(pa.compute.equal(table.column("role"), role))
             ids, keep = np.unique(np.array(t.column("id").to_pylist(), dtype=str), return_index=True)
-            sides.append((ids, matrix(t.column("v").take(pa.array(keep)), routers[c][0])[1]))
+            sides.append((ids, matrix(t.column("v").take(pa.array(keep)), widths_of[c])[1]))
         (x_ids, x), (q_ids, q) = sides
         if not len(x_ids) or not len(q_ids):
             a, b, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0)

@@ -169,8 +169,11 @@ def test_clusters_of_nothing(spark):
 
 
 # 4 neighbours
-def test_neighbours_recall_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART", 60)
+@pytest.mark.parametrize("most", [256, 3])
+def test_neighbours_recall_and_ties(spark, monkeypatch, most):
+    """Ties and odd rows, with one classifier and with a second one in each of three parts."""
+    monkeypatch.setattr(neighbours, "MOST_PARTS", most)
+    monkeypatch.setattr(neighbours, "PART", 60 if most > 3 else 20)
     monkeypatch.setattr(neighbours, "INDEX_BLOCK", 40)
     x = blobs(300, 16, [6, 4, 9, 3] * 6)
     rows = [("m", f"{i:04d}", [float(y) for y in v]) for i, v in enumerate(x)] + [("m", "9998", [1.0] * 16), ("m", "9999", [2.0] * 16), ("m", "9997", [3.0] * 16)]
