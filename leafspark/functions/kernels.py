@@ -78,21 +78,34 @@ def header_chunks(text: str, levels: frozenset[int]) -> list[tuple[int, str, tup
     return out
 
 
-def list_items(text: str) -> list[tuple[str, int]]:
-    """(item, depth) of the list items of a text; lines before the first are dropped, others belong to the item above."""
+def list_items(text: str, keep_preamble: bool = False) -> list[tuple[str, int]]:
+    """(item, depth) of the list items of a text; lines before the first are dropped, or an item of depth 0; others belong to the item above."""
     items: list[list[str]] = []
+    before: list[str] = []
     for line in text.split("\n"):
         if LIST_START.match(line):
             items.append([line])
         elif items:
             items[-1].append(line)
-    out = []
+        else:
+            before.append(line)
+    out = [("\n".join(before), 0)] if keep_preamble and any(x.strip() for x in before) else []
     for lines in items:
         lead = lines[0][: len(lines[0]) - len(lines[0].lstrip(" \t"))]
         out.append(("\n".join(lines), len(lead.replace("\t", "    ")) // 2))
     return out
 
 
+def parents(depths: list[int]) -> list[int | None]:
+    """For every item the last earlier one a level up, null at depth 0."""
+    last: dict[int, int] = {}
+    out = []
+    for i, d in enumerate(depths):
+        out.append(last.get(d - 1) if d > 0 else None)
+        last[d] = i
+    return out
+
+
 def packed(items: list[str], limit: int, depths: list[int] | None = None) -> list[list[str]]:
     """Items in order in groups up to the limit; an item over it is alone. With depths only an item of depth 0 that does not fit starts a group."""
     groups, now, size = [], [], 0
@@ -129,5 +142,41 @@ def pieces(text: str, limit: int) -> tuple[str, list[str]]:
     return "keep", []
 
 
+def elements(text: str) -> list[tuple[str, int | None, str, tuple[str | None, ...]]]:
+    """(category, depth of a title, text, h1..h6) of the blocks of a text: fenced code, titles, list items with the lines that follow, table rows, paragraphs."""
+    blocks: list[tuple[str, list[str]]] = []
+    fences, was = 0, None
+    for line in text.split("\n"):
+        bare = line.strip()
+        fence = bare.startswith(FENCE)
+        fences += fence
+        if fences % 2 or fence:
+            kind = "CodeSnippet"
+        elif not bare:
+            kind = ""
+        elif HEADER.match(line):
+            kind = "Title"
+        elif LIST_START.match(line):
+            kind = "ListItem"
+        else:
+            kind = "Table" if bare.startswith("|") else "NarrativeText"
+        goes_on = (kind == was and kind in ("NarrativeText", "Table")) or (kind == "CodeSnippet" and not (fence and fences % 2)) or (kind == "NarrativeText" and was == "ListItem")
+        if goes_on and blocks:
+            blocks[-1][1].append(line)
+        else:
+            blocks.append((kind, [line]))
+        was = kind
+    out, heads = [], [None] * 6
+    for kind, lines in blocks:
+        m = HEADER.match(lines[0]) if kind == "Title" else None
+        body = m[2].strip() if m else "\n".join(lines)
+        if kind and body.strip():
+            if m:
+                k = len(m[1])
+                heads = heads[: k - 1] + [body] + [None] * (6 - k)
+            out.append((kind, len(m[1]) - 1 if m else None, body, tuple(heads)))
+    return out
+
+
 def chunk_id(content: str, position: int) -> str:
     return hashlib.sha256(f"{content}{position}".encode()).hexdigest()[:8]

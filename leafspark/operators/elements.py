@@ -7,13 +7,15 @@ element, the open headers at it, its type, depth, sequence number, code flag and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspark.functions.text import chunk_id, is_blank, sequence_number, strip, token_count
-from leafspark.operators.chunking import HEADER, HEADS, cascade
-from leafspark.operators.lines import explode_lines, joined, upto
-from leafspark.operators.oversize import LIST_START
+from leafspark.functions import kernels
+from leafspark.functions.text import chunk_id, sequence_number, strip, token_count
+from leafspark.operators.chunking import HEADS, cascade
 
 #: Element categories and the types they become; any other is narrative_text.
 TYPES = {"Title": "title", "Header": "header", "NarrativeText": "narrative_text", "ListItem": "list_item", "CodeSnippet": "code_snippet"}
@@ -37,30 +39,37 @@ def is_code_block(text: F.Column, category: F.Column) -> F.Column:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, element_no, category, category_depth, text) of the blocks that are not blank."""
-    w, order = upto("doc_id"), Window.partitionBy("doc_id").orderBy("line_no")
-    line = F.col("line")
-    fence = strip(line).startswith("```")
-    lines = explode_lines(docs).withColumn("fences", F.sum(fence.cast("int")).over(w))
-    inside = (F.col("fences") % 2 == 1) | fence
-    kind = F.when(inside, "CodeSnippet").when(is_blank(line), "").when(line.rlike(HEADER), "Title").when(line.rlike(LIST_START), "ListItem").when(strip(line).startswith("|"), "Table").otherwise("NarrativeText")
-    lines = lines.withColumn("kind", kind).withColumn("was", F.lag("kind").over(order))
-    opening = fence & (F.col("fences") % 2 == 1)
-    goes_on = (F.col("kind") == F.col("was")) & F.col("kind").isin("NarrativeText", "Table") | (F.col("kind") == "CodeSnippet") & ~opening | (F.col("kind") == "NarrativeText") & (F.col("was") == "ListItem")
-    lines = lines.withColumn("starts", F.coalesce(~goes_on, F.lit(True)).cast("int")).withColumn("block", F.sum("starts").over(w))
-    whole = lines.groupBy("doc_id", "block").agg(F.min_by("kind", "line_no").alias("category"), joined("line", "line_no").alias("raw"), F.min_by("line", "line_no").alias("first")).where("category <> ''")
-    depth = F.when(F.col("category") == "Title", F.length(F.regexp_extract("first", HEADER, 1)) - 1)
-    text = F.when(F.col("category") == "Title", strip(F.regexp_extract("first", HEADER, 2))).otherwise(F.col("raw"))
-    out = whole.select("doc_id", "block", "category", depth.cast("int").alias("category_depth"), text.alias("text")).where(~is_blank(F.col("text")))
-    return out.withColumn("element_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1).cast("int")).drop("block")
+    """(doc_id, element_no, category, category_depth, text, h1..h6) of the blocks that are not blank.
+
+    One pass without a shuffle: a document is one row. Null ids and texts give no row.
+    """
+    names = ["doc_id", "element_no", "category", "category_depth", "text", *HEADS]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), *[pa.string()] * 6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, of, rows = b.slice(at, 500), [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    found = kernels.elements(t)
+                    rows += [(k, c, d, x, *h) for k, (c, d, x, h) in enumerate(found)]
+                    of += [i] * len(found)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int32())), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], names=names)
+
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, element_no int, category string, category_depth int, text string, " + ", ".join(f"{h} string" for h in HEADS))
 
 
 def enrich(elements: DataFrame) -> DataFrame:
-    """Elements with type, headers (a title carries itself), depth, sequence number, code flag, tokens and id."""
+    """Elements of any source with type, headers (a title carries itself), depth, sequence number, code flag, tokens and id."""
     title = F.col("category") == "Title"
     levelled = elements.select("doc_id", "element_no", "category", "category_depth", "text", F.when(title, header_level(F.coalesce("category_depth", F.lit(-1)))).alias("level"), F.when(title, F.col("text")).alias("header"))
+    return _described(cascade(levelled, order="element_no"))
+
+
+def _described(rows: DataFrame) -> DataFrame:
     number = sequence_number(F.col("text"))
-    return cascade(levelled, order="element_no").select(
+    return rows.select(
         "doc_id", chunk_id(F.col("text"), F.col("element_no")).alias("chunk_id"), F.col("text").alias("content"), *HEADS, F.col("element_no").alias("original_position"), token_count(F.col("text")).alias("token_count"),
         F.coalesce("category_depth", F.lit(0)).alias("depth_level"), number.alias("sequence_number"), is_code_block(F.col("text"), F.col("category")).alias("is_inside_code_block"), element_type(F.col("category"), number).alias("element_type"),
     )
@@ -68,4 +77,4 @@ def enrich(elements: DataFrame) -> DataFrame:
 
 def parse(docs: DataFrame) -> DataFrame:
     """Documents to enriched elements; blank documents give no row."""
-    return enrich(blocks(docs))
+    return _described(blocks(docs))

@@ -1,8 +1,8 @@
 """Oversized chunks: list items, greedy packing, and the cascade of strategies.
 
-The cascade runs on whole chunks where they are scanned, without a shuffle. The single steps
-also stand alone: items come from an explode and windows within a chunk, packing is a fold
-over the chunk's own array of items, in the JVM.
+The cascade and the list items run on whole chunks where they are scanned, without a shuffle.
+The single steps also stand alone: packing is a fold over the chunk's own array of items, in
+the JVM.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafspark.functions import kernels
 from leafspark.functions.text import WS, is_blank, token_count
 from leafspark.operators.chunking import HEADS, ROW_KINDS, ROW_NAMES, ROW_SCHEMA, chunk_rows, cut_rows
-from leafspark.operators.lines import joined, upto
 
 LIST_START = rf"^{WS}*(?:[-*]|\d+\.){WS}+"
 KEY = ["doc_id", "chunk_id", "original_position"]
@@ -25,29 +25,27 @@ def list_items(chunks: DataFrame, keep_preamble: bool = False) -> DataFrame:
     """(doc_id, chunk_id, original_position, idx, item, depth, parent_idx, tokens) of every list item.
 
     Lines before the first item are dropped, as in the reproduced behaviour; keep_preamble
-    makes them an item of depth 0. Other lines belong to the item above them. depth is half
-    the leading width, a tab counting four if there is one; parent_idx is the last earlier
-    item one level up, null at depth 0.
+    makes them an item of depth 0 unless they are blank. Other lines belong to the item above
+    them. depth is half the leading width, a tab counting four if there is one; parent_idx is
+    the last earlier item one level up, null at depth 0. A null content has no items.
     """
-    lines = chunks.select(*KEY, F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
-    w = upto(*KEY, order="n")
-    numbered = lines.withColumn("idx", F.sum(F.col("line").rlike(LIST_START).cast("int")).over(w) - 1)
-    numbered = numbered.withColumn("idx", F.col("idx") + 1) if keep_preamble else numbered.where("idx >= 0")
-    items = numbered.groupBy(*KEY, "idx").agg(joined("line", "n").alias("item"), F.min_by("line", "n").alias("first"))
-    lead = F.regexp_extract("first", r"^([ \t]*)", 1)
-    width = F.when(lead.contains("\t"), F.length(F.regexp_replace(lead, "\t", "    "))).otherwise(F.length(lead))
-    depth = F.when(is_blank(F.col("first")), F.lit(0)).otherwise(F.floor(width / 2)).cast("int")
-    items = items.withColumn("depth", depth).where(~is_blank(F.col("item")) | F.lit(not keep_preamble))
-    return _with_parents(items)
-
-
-def _with_parents(items: DataFrame) -> DataFrame:
-    """The last earlier item one level up: items of two neighbouring depths form a partition each, so no history is held."""
-    pairs = items.select(*KEY, "idx", "item", "depth", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("own")), F.struct((F.col("depth") + 1).alias("level"), F.lit(False).alias("own")))).alias("x")).select(*KEY, "idx", "item", "depth", "x.*")
-    before = Window.partitionBy(*KEY, "level").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(~F.col("own"), F.col("idx")), ignorenulls=True).over(before)
-    found = pairs.withColumn("parent_idx", parent).where("own")
-    return found.select(*KEY, F.col("idx").cast("int").alias("idx"), "item", "depth", F.when(F.col("depth") > 0, F.col("parent_idx")).cast("int").alias("parent_idx"), token_count(F.col("item")).alias("tokens"))
+    kinds = dict(chunks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, of, rows = b.slice(at, 500), [], []
+                for i, t in enumerate(part.column(len(KEY)).to_pylist()):
+                    items = kernels.list_items(t, keep_preamble)
+                    up = kernels.parents([d for _, d in items])
+                    rows += [(k, x, d, up[k], kernels.tokens(x)) for k, (x, d) in enumerate(items)]
+                    of += [i] * len(items)
+                own = [part.column(k).take(pa.array(of, pa.int32())) for k in range(len(KEY))]
+                types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, types))], names=[*KEY, "idx", "item", "depth", "parent_idx", "tokens"])
+
+    rows = chunks.where(F.col("content").isNotNull()).select(*KEY, F.col("content").cast("string").alias("content"))
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", idx int, item string, depth int, parent_idx int, tokens int")
 
 
 def fold_groups(items: str, limit: int, by_depth: bool = False) -> F.Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafspark import cli, profiling
 from leafspark.functions import kernels
 from leafspark.functions import vectors as V
-from leafspark.operators import chunking, dedup, embed, oversize, preprocess
+from leafspark.operators import chunking, dedup, elements, embed, oversize, preprocess
 from leafspark.sources import files
 
 SHAPES = ["# A", "## B", "### C", "text here", "", "**Bold Title**", "**bold low**", "  **In**  ", "**A** x **B**", "***T***", "```", "#tag", "- item one", "  - deep item two", "1. num", "| **Cell** |", "**한글**", "**" + "A" * 81 + "**", "\t- tab", "##   ", "- **Item**", "+ plus", "w " * 9]
@@ -54,9 +54,23 @@ def test_pieces_agree_with_the_single_steps(spark):
     assert sorted(r.strategy for r in oversize.split_oversized(odd, 1).collect()) == ["keep", "keep"]
 
 
+def test_list_items_keep_or_drop_what_stands_before(spark):
+    d = chunking.split(spark.createDataFrame([(1, "intro\n- a\n  - b\nmore\n- c\n\t\t- d\n  - e"), (2, "no list"), (3, "\n- x")], "doc_id long, text string"))
+    rows = lambda keep: [(r.doc_id, r.idx, r["item"], r.depth, r.parent_idx) for r in oversize.list_items(d, keep).orderBy("doc_id", "idx").collect()]
+    assert rows(False) == [(1, 0, "- a", 0, None), (1, 1, "  - b\nmore", 1, 0), (1, 2, "- c", 0, None), (1, 3, "\t\t- d", 4, None), (1, 4, "  - e", 1, 2), (3, 0, "- x", 0, None)]
+    assert rows(True)[:3] == [(1, 0, "intro", 0, None), (1, 1, "- a", 0, None), (1, 2, "  - b\nmore", 1, 1)] and (2, 0, "no list", 0, None) in rows(True) and (3, 0, "- x", 0, None) in rows(True)
+
+
+def test_elements_carry_the_headers_that_windows_give(spark):
+    d = spark.createDataFrame(list(enumerate(texts(80, 5, 40))), "doc_id long, text string")
+    whole = elements.parse(d)
+    again = elements.enrich(elements.blocks(d).drop(*chunking.HEADS))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, again.collect())) and whole.count() > 200
+
+
 def test_plans_of_whole_texts_have_no_shuffle(spark):
     d = spark.createDataFrame([(1, "# A")], "doc_id long, text string")
-    for df in (preprocess.preprocess(d), chunking.split(d), oversize.split_documents(d)):
+    for df in (preprocess.preprocess(d), chunking.split(d), oversize.split_documents(d), elements.parse(d), oversize.list_items(chunking.split(d))):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
