@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspark.llm import clusters, groups, leakage, markup, mixing, neighbours, pieces, repetition, survivors, toxicity
+from leafspark.llm import clusters, groups, leakage, markup, mixing, neighbours, pages, pieces, repetition, survivors, toxicity
 from leafspark.session import cut
 
 #: File of the public tokenizer that the queries in its tokens use.
@@ -62,6 +62,11 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.converted(_t(spark, d, "chunks"))
 
 
+def p5_page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the lines that they share with the nearest title of their repository, as pages of a host by path."""
+    return pages.differenced(_t(spark, d, "documents"), "repo", "title")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(_t(spark, d, "chunks")).select("chunk_id").distinct()
 

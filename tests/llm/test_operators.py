@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafspark.llm import clusters, groups, leakage, markup, mixing, neighbours, pieces, repetition, survivors, toxicity
+from leafspark.llm import clusters, groups, leakage, markup, mixing, neighbours, pages, pieces, repetition, survivors, toxicity
 
 
 # 1 groups
@@ -221,6 +221,35 @@ def test_markup_edges(spark):
     assert ("a", "html") in {tuple(r) for r in markup.markup_kinds(df).collect()}
 
 
+def test_shared_lines_are_a_longest_common_subsequence():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice(["a", "b", "c", "d", ""]) for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y and x else max(best[i][j + 1], best[i + 1][j])
+        got = sorted(pages.shared_lines(a, b))
+        rest = iter(b)
+        assert len(got) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in got)
+
+
+def test_pages_lose_the_lines_of_their_host(spark):
+    menu, foot = "Home | About", "All rights reserved"
+    rows = [(i, " Host " if i % 2 else "host", f"/{'ab'[i % 4 // 2]}/{i:02d}", f"{menu}\n\npage {i}\n{foot}") for i in range(40)]
+    rows += [(90, "lonely", "/x", "alone"), (91, None, "/a", "x"), (92, "host", None, "x"), (None, "host", "/a", "x"), (93, "host", "/a/93", None), (94, "host", "/z", ""), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, repo string, title string, text string").withColumns({"h": F.lit(0), "t": F.lit(0)})
+    got = {r.doc_id: r for r in pages.differenced(df, "repo", "title").collect()}
+    assert set(got) <= {*range(40), 94} and len(got) >= 38
+    full = [r for k, r in got.items() if k < 40 and r.other < 40]
+    assert len(full) >= 36 and all(r.own_text == f"\npage {r.doc_id}" and (r.n_lines, r.n_shared) == (4, 2) for r in full)
+    order = sorted(range(40), key=lambda i: rows[i][2])
+    near = {r.doc_id: r.other for r in pages.neighbours_by_path(df.where("doc_id < 40"), "repo", "title").collect()}
+    assert all(abs(order.index(k) - order.index(o)) == 1 for k, o in near.items()) and len(near) == 40
+    one = {r.doc_id: r.other for r in pages.neighbours_by_path(df.where("doc_id < 40").coalesce(1), "repo", "title").collect()}
+    assert one == near and pages.differenced(df.where("false"), "repo", "title").count() == 0
+
+
 # 6 pieces
 def test_pieces_cover_and_fit():
     rng = random.Random(2)
