@@ -12,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPACE = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+#: The characters that count as white space.
+SPACE = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _facts(chunks: DataFrame) -> DataFrame:
     """What the ranking needs of each chunk, computed at the scan so that texts are not shuffled."""
-    filled = lambda c: F.length(F.regexp_replace(F.col(c), SPACE, "")) > 0
+    bare = lambda c: F.btrim(F.col(c), F.lit(SPACE))
+    filled = lambda c: F.length(bare(c)) > 0
     recency = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")).cast("double"), F.lit(float("inf")))
-    size = F.length(F.regexp_replace("content", SPACE, ""))
+    size = F.length(bare("content"))
     key = lambda ok, k: F.when(ok, k.cast("double"))
     return chunks.where("chunk_id is not null").select("chunk_id", key(size > 0, -size).alias("content"), F.col("original_position").cast("double").alias("original_position"), *(key(filled(h), recency).alias(h) for h in ("h1", "h2", "h3")), F.when(filled("element_type"), F.lit(1)).alias("typed"))
 
