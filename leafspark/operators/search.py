@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspark.functions.vectors import cosine
+from leafspark.functions.vectors import cosine, usable
 from leafspark.operators.chunking import HEADS
 
 
@@ -25,6 +25,17 @@ def search(chunks: DataFrame, query: list[float], top_k: int = 5, min_similarity
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sim"), tie)))
 
 
+def search_by_chunk(chunks: DataFrame, chunk: str, top_k: int = 5, min_similarity: float = 0.5, vec: str = "embedding", key: str = "chunk_id") -> DataFrame:
+    """The k chunks most similar to a stored one, without itself; a chunk without a usable vector is an error.
+
+    The one vector comes to the driver, the smallest if the id occurs several times.
+    """
+    held = chunks.where((F.col(key) == chunk) & usable(F.col(vec))).agg(F.min(vec).alias("v")).first()["v"]
+    if held is None:
+        raise ValueError(f"no chunk {chunk} with a usable vector")
+    return search(chunks.where(F.col(key) != chunk), list(held), top_k, min_similarity, vec, key)
+
+
 def search_per_group(chunks: DataFrame, query: list[float], group: str, top_k: int = 5, min_similarity: float = 0.5, vec: str = "embedding", tie: str = "chunk_id") -> DataFrame:
     """The k most similar chunks of every group; each task keeps at most k a group before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.desc("sim"), tie)

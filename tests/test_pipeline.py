@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafspark import cli, profiling
 from leafspark.functions import kernels
 from leafspark.functions import vectors as V
-from leafspark.operators import chunking, dedup, elements, embed, oversize, preprocess
+from leafspark.operators import chunking, dedup, elements, embed, oversize, preprocess, reorder, search
 from leafspark.sources import files
 
 SHAPES = ["# A", "## B", "### C", "text here", "", "**Bold Title**", "**bold low**", "  **In**  ", "**A** x **B**", "***T***", "```", "#tag", "- item one", "  - deep item two", "1. num", "| **Cell** |", "**한글**", "**" + "A" * 81 + "**", "\t- tab", "##   ", "- **Item**", "+ plus", "w " * 9]
@@ -213,3 +213,33 @@ def test_memory(spark):
     assert held and all(0 <= free <= most for most, free in held.values())
     total, free = profiling.system_memory()
     assert 0 < free <= total and profiling.memory_available(spark, 1) and not profiling.memory_available(spark, 1 << 60) and profiling.gpus(spark) == []
+
+
+def test_boundaries(spark):
+    d = spark.createDataFrame([(1, ""), (2, "no header"), (3, "# A\ntext\n"), (4, "# A\n### C\n## B"), (5, None), (None, "# A"), (6, "# A\n\n" + "w " * 40_000)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in preprocess.preprocess(d.where("doc_id < 5")).collect()} == {1: "", 2: "no header", 3: "# A\ntext\n", 4: "# A\n### C\n## B"}
+    rows = {}
+    for r in chunking.split(d).orderBy("doc_id", "original_position").collect():
+        rows.setdefault(r.doc_id, []).append((r.original_position, r.content[:20], r.h1, r.h2, r.h3))
+    assert rows[2] == [(0, "no header", None, None, None)] and rows[3] == [(0, "# A\ntext\n", "A", None, None)]
+    assert rows[4] == [(0, "# A\n### C", "A", None, "C"), (1, "## B", "A", "B", None)] and set(rows) == {2, 3, 4, 6}
+    n = chunking.split(d.where("doc_id = 6")).first().token_count
+    assert n == int(40_002 * 1.3)
+    assert oversize.split_documents(d.where("doc_id = 6"), n).first().strategy == "keep" == oversize.split_documents(d.where("doc_id = 6"), n - 1).first().strategy
+    one = spark.createDataFrame([("a", 1, [1.0, 0.0])], "b string, k int, embedding array<double>").withColumn("original_position", F.lit(0))
+    none = dedup.representatives(one, dedup.duplicate_groups(dedup.duplicate_pairs(one, "b", "k", 0.9)), "b", "k")
+    assert dedup.report(one, none, "b").first().asDict() == {"block": "a", "original_count": 1, "deduplicated_count": 1, "removed_count": 0, "n_groups": 0, "reduction_percentage": 0.0}
+    assert dedup.report_text(one, none, "b").first().report == "Chunks: 1, after deduplication: 1, removed: 0 (0.0 %)\nGroups of duplicates: 0\n"
+    assert [r.item for r in reorder.reorder(one, "b", "k", "cluster").collect()] == [1]
+    with pytest.raises(ValueError):
+        reorder.reorder(one.where("false"), "b", "k", strict=True)
+    assert search.search(one.withColumn("chunk_id", F.lit("x")), [0.0, 1.0], 3, 0.5).count() == 0
+
+
+def test_search_by_a_chunk(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", None)]
+    c = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    assert [(r.chunk_id, r["rank"]) for r in search.search_by_chunk(c, "a", 5, 0.5).orderBy("rank").collect()] == [("b", 1)]
+    for missing in ("d", "x"):
+        with pytest.raises(ValueError):
+            search.search_by_chunk(c, missing)
