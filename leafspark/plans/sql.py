@@ -82,6 +82,18 @@ CASE WHEN {alone} OR ({new}) THEN a.g + (CASE WHEN a.o THEN 1 ELSE 0 END) ELSE a
 {name} AS (SELECT doc_id, original_position, f.mine AS piece, string_agg(x.item, {sep} ORDER BY idx) AS content FROM {name}_f f JOIN {source} x USING (doc_id, original_position, idx) GROUP BY doc_id, original_position, f.mine)"""
 
 
+def elements() -> str:
+    to_here = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    title = f"CASE WHEN kind = 'Title' THEN {strip(f"regexp_extract(top, '{HEADER}', 2)")} ELSE raw END"
+    return f"""{lines()}, f AS (SELECT *, {strip("line")} AS bare, starts_with({strip("line")}, '```') AS fence, sum(CASE WHEN starts_with({strip("line")}, '```') THEN 1 ELSE 0 END) {to_here} AS fences FROM lines),
+k AS (SELECT *, CASE WHEN fences % 2 = 1 OR fence THEN 'CodeSnippet' WHEN bare = '' THEN '' WHEN regexp_matches(line, '{HEADER}') THEN 'Title' WHEN regexp_matches(line, '{LIST_START}') THEN 'ListItem' WHEN starts_with(bare, '|') THEN 'Table' ELSE 'NarrativeText' END AS kind FROM f),
+l AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS was FROM k),
+b AS (SELECT *, sum(CASE WHEN (kind = was AND kind IN ('NarrativeText', 'Table')) OR (kind = 'CodeSnippet' AND NOT (fence AND fences % 2 = 1)) OR (kind = 'NarrativeText' AND was = 'ListItem') THEN 0 ELSE 1 END) {to_here} AS block FROM l),
+g AS (SELECT doc_id, block, first(kind ORDER BY line_no) AS kind, first(line ORDER BY line_no) AS top, string_agg(line, chr(10) ORDER BY line_no) AS raw FROM b GROUP BY doc_id, block),
+t AS (SELECT doc_id, block, kind, CASE WHEN kind = 'Title' THEN CAST(length(regexp_extract(top, '{HEADER}', 1)) AS INTEGER) END AS level, {title} AS content FROM g WHERE kind <> ''),
+heads AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS line_no, CASE WHEN kind = 'Title' THEN content END AS header FROM t WHERE {strip("content")} <> ''), {cascade()}"""
+
+
 NL, NN = "chr(10)", "chr(10) || chr(10)"
 CHUNKS = f"c AS (SELECT DISTINCT doc_id, chunk_id, content, {HEADS}, original_position, token_count, element_type FROM chunks)"
 PAIRS = """q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1),
@@ -138,6 +150,8 @@ UNION ALL SELECT z.doc_id, chunk_id || '-' || piece, pa.content, {HEADS}, z.orig
 UNION ALL SELECT doc_id, chunk_id, content, {HEADS}, original_position, NULL, token_count, strategy FROM z WHERE strategy = 'keep') SELECT * FROM u""",
         "sequence_numbers": f"{w}{CHUNKS} SELECT doc_id, chunk_id, {seq} AS sequence_number FROM c",
         "element_rules": f"{w}{CHUNKS} SELECT doc_id, chunk_id, CAST(CASE WHEN length(regexp_extract(content, '^(#*)', 1)) BETWEEN 1 AND 6 THEN length(regexp_extract(content, '^(#*)', 1)) ELSE 1 END AS INTEGER) AS header_level, starts_with({strip('content')}, '```') AS is_code, CASE WHEN {seq} IS NOT NULL THEN 'procedure_step' WHEN starts_with(content, '#') THEN 'title' WHEN starts_with(content, '```') THEN 'code_snippet' WHEN starts_with(content, '- ') THEN 'list_item' ELSE 'narrative_text' END AS element_type FROM c",
+        "element_parse": f"""{w}{elements()} SELECT doc_id, substr(sha256(content || line_no), 1, 8) AS chunk_id, content, {HEADS}, line_no AS original_position, {tokens("content")} AS token_count, CAST(coalesce(level - 1, 0) AS INTEGER) AS depth_level, {seq} AS sequence_number, starts_with({strip("content")}, '```') OR kind = 'CodeSnippet' AS is_inside_code_block,
+CASE WHEN {seq} IS NOT NULL THEN 'procedure_step' WHEN kind = 'Title' THEN 'title' WHEN kind = 'ListItem' THEN 'list_item' WHEN kind = 'CodeSnippet' THEN 'code_snippet' ELSE 'narrative_text' END AS element_type FROM casc""",
         "cosine_pairs": f"{w}{pairs} SELECT block, i, j, round(sim, 6) AS sim FROM p",
         "batch_cosine": f"{w}{PAIRS} SELECT vec_id, round({qsim}, 6) AS sim FROM e a, q",
         "cosine_normalized": f"{w}{PAIRS} SELECT vec_id, round(list_inner_product(a.v, CAST(q.v AS DOUBLE[])), 6) AS sim FROM e a, q",
