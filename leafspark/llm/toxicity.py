@@ -49,8 +49,8 @@ ANNOTATOR, UNJUDGED, SHRINK = 0.9, 0.1, 20
 LIGHT, ROUNDS, EPOCHS = 0.3, 4, 5
 #: Weight that a sentence gains in the training with its label, as few are to blame.
 RARE = 3
-#: Probability of a sentence at first, in a document that annotators named a category for, and from where on sentences nobody judged follow the classifier.
-START, DOUBT = 0.05, 0.1
+#: Probability of a sentence at first, in a document that annotators named a category for.
+START = 0.05
 #: The words of a longer sentence share the weight of so many.
 FULL_LENGTH = 24
 #: Distinct tokens that a worker keeps.
@@ -475,8 +475,8 @@ class Sample:
         In a document that annotators named a category for, each sentence without votes is to
         blame with its probability, given that at least one sentence of the document is or
         the annotators erred: what other documents bear out is blamed, the rest taken for an
-        error. Sentences that nobody judged follow the classifier from DOUBT on, and half
-        way where the label model is unsure of their votes.
+        error. Where the label model is unsure of the votes on a sentence that nobody judged,
+        its label moves half way to the classifier.
         """
         p = np.full(self.y.shape, START) if p is None else np.clip(p, 1e-6, 1 - 1e-6)
         free = ~self.voted
@@ -491,8 +491,6 @@ class Sample:
             y[free] = 0.0
             at = free & named
             y[at] = own[at] * right[at] / np.maximum(1 - none[at], 1e-6)
-            at = free & ~self.judged & (own >= DOUBT)
-            y[at] = own[at] if p.min() < p.max() else 0.0
             self.y[:, j] = np.minimum(y, 1 - 1e-3)
 
 
@@ -571,21 +569,26 @@ def fit(table: DataFrame, labels: DataFrame | None) -> tuple[np.ndarray, dict[st
     others = few(table, table.count(), OTHERS).join(said.select("doc_id"), "doc_id", "left_anti").limit(2 * OTHERS)
     picked = judged.union(others.select("doc_id", "ids", "votes", *(F.lit(None).cast("string") for _ in names)))
     sample = Sample(picked.toArrow(), models)
-    return train(sample).weights(), models
+    return train(sample), models
 
 
-def train(sample: Sample) -> Classifier:
-    """The classifier of a sample; the sentences to blame are found with two classifiers, each of one half of the documents and asked about the other."""
+def train(sample: Sample) -> np.ndarray:
+    """The weights of a sample: the mean of a classifier of all documents and of two of one half each.
+
+    The sentences to blame are found with the two, each asked about the other half; the mean
+    steadies what few documents teach.
+    """
     sample.blame(None)
     halves = [Classifier(sample), Classifier(sample)]
-    for _ in range(ROUNDS):
+    for i in range(ROUNDS + 1):
         for k, half in enumerate(halves):
             half.train(EPOCHS, np.flatnonzero(sample.fold != k))
-        p = [half.probabilities() for half in halves]
-        sample.blame(np.where(sample.fold[:, None] == 0, p[0], p[1]))
-    model = Classifier(sample)
-    model.train(3 * EPOCHS)
-    return model
+        if i < ROUNDS:
+            p = [half.probabilities() for half in halves]
+            sample.blame(np.where(sample.fold[:, None] == 0, p[0], p[1]))
+    whole = Classifier(sample)
+    whole.train(3 * EPOCHS)
+    return (whole.weights() + (halves[0].weights() + halves[1].weights()) / 2) / 2
 
 
 def scores(documents: DataFrame, labels: DataFrame | None = None, text: str = "text") -> DataFrame:
