@@ -197,6 +197,13 @@ SELECT doc_id, coalesce(string_agg(t, {NN} ORDER BY place) FILTER (WHERE has), '
         "validate_preprocess": f"""{w}a AS (SELECT sha256(content) AS h, count(*) AS n, sum(token_count) AS t FROM ({w}{split()} SELECT * FROM split) GROUP BY h),
 b AS (SELECT sha256(content) AS h, count(*) AS n, sum(token_count) AS t FROM ({after}) GROUP BY h)
 SELECT CAST(coalesce(sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)), 0) AS BIGINT) AS lost, CAST(coalesce(sum(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)), 0) AS BIGINT) AS added, CAST(coalesce(sum(a.t), 0) AS BIGINT) AS tokens_before, CAST(coalesce(sum(b.t), 0) AS BIGINT) AS tokens_after FROM a FULL JOIN b ON a.h = b.h""",
+        "cluster_reorder": f"""WITH RECURSIVE {PAIRS}, k AS (SELECT label AS block, CASE WHEN count(*) <= 5 THEN least(count(*), 3) WHEN count(*) <= 20 THEN least(count(*) // 3, 5) ELSE least(count(*) // 5, 7) END AS k FROM e GROUP BY label),
+d AS (SELECT a.label AS block, a.vec_id AS i, b.vec_id AS j, greatest(0.0, least(2.0, 1 - {SIM})) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT label AS block, vec_id AS item, vec_id AS c, 0 AS step FROM e UNION ALL
+SELECT r.block, r.item, CASE WHEN r.c = m.c2 THEN m.c1 ELSE r.c END, r.step + 1 FROM r JOIN k ON k.block = r.block JOIN (SELECT block, count(DISTINCT c) AS n FROM r GROUP BY block) z ON z.block = r.block
+JOIN (SELECT block, c1, c2 FROM (SELECT a.block, a.c AS c1, b.c AS c2, row_number() OVER (PARTITION BY a.block ORDER BY avg(d.d), a.c, b.c) AS q FROM r a JOIN r b ON a.block = b.block AND a.c < b.c JOIN d ON d.block = a.block AND d.i = a.item AND d.j = b.item GROUP BY a.block, a.c, b.c) WHERE q = 1) m ON m.block = r.block WHERE z.n > k.k),
+f AS (SELECT * FROM r QUALIFY step = max(step) OVER (PARTITION BY block))
+SELECT block, item, CAST(row_number() OVER (PARTITION BY block ORDER BY c, item) - 1 AS INTEGER) AS new_position FROM f""",
         "sequential_reorder": f"""WITH RECURSIVE {PAIRS}, s AS (SELECT label AS block, min(vec_id) AS item FROM e GROUP BY label), r AS (SELECT block, item, 0 AS new_position, [item] AS seen FROM s
 UNION ALL SELECT block, item, new_position, list_append(seen, item) FROM (SELECT r.block, b.vec_id AS item, r.new_position + 1 AS new_position, r.seen, row_number() OVER (PARTITION BY r.block ORDER BY {SIM} DESC, b.vec_id) AS k FROM r JOIN e a ON a.vec_id = r.item JOIN e b ON b.label = r.block WHERE NOT list_contains(r.seen, b.vec_id)) WHERE k = 1)
 SELECT block, item, CAST(new_position AS INTEGER) AS new_position FROM r""",
