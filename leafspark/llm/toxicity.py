@@ -30,6 +30,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +60,14 @@ KEPT_TOKENS = 400_000
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]")
 LINE_BREAK = re.compile(r"\n(?:[^\S\n]*\n|(?=[ \t]*(?:[-*+>#]|\d+[.)])))")
 ENDING = re.compile(r"[.!?。…][\"')\]*_]*$")
-QUOTED = re.compile(r"(?<!\w)(['\"])(?=\S)[^'\"\n]{2,120}?\1(?!\w)|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|‘[^’\n]*’")
+# starts with a set of characters, so that the scan runs from one to the next
+QUOTED = re.compile(r"(['\"«“„‘])(?:(?<=['\"])(?<!\w['\"])(?=\S)[^'\"\n]{2,120}?\1(?!\w)|(?<=«)[^»\n]*»|(?<=“)[^”\n]*”|(?<=„)[^“”\n]*[“”]|(?<=‘)[^’\n]*’)")
 TOKEN = re.compile(r"[^\W\d_]+")
 LEET = str.maketrans("013457", "oieast")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*][^\W\d_]){2,}(?![^\W\d_])|(?<![가-힣])[가-힣](?:[.\-_*][가-힣])+")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?: [^\W\d_]{2})?(?![^\W_])")
 SINGLES = re.compile(r" [^\W\d_] [^\W\d_](?![^\W_])")
+SYLLABLE = re.compile("[가-힣]")
 HANGUL_PAIR = re.compile(r"(?<![가-힣])([가-힣]+) ([가-힣])(?![가-힣])")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
 EDGES = ".,;:!?\"'()[]{}<>…|`~"
@@ -188,7 +191,7 @@ def prepared(text: str) -> list[str]:
         t = QUOTED.sub(_aside, t)
     if SINGLES.search(t) or SINGLES.match(f" {t[:4]}"):
         t = SPACED.sub(_joined, re.sub(r"-\s+-", " ", t))
-    if not t.isascii() and HANGUL_PAIR.search(t):
+    if not t.isascii() and SYLLABLE.search(t):
         t = HANGUL_PAIR.sub(lambda m: _joined(m) if m[1][-1:] + m[2] in CLASSES or m[1] + m[2] in CLASSES else m[0], t)
     return t.split()
 
@@ -206,7 +209,7 @@ TERM, QUOTES = 1, 2
 
 
 class Tokens:
-    """Word ids, words and flags of raw tokens, kept for tokens that come again."""
+    """Word ids, words and flags of raw tokens, kept for tokens that come again; facts: whether one ends a sentence, has ids, and holds a term."""
 
     def __init__(self) -> None:
         self.clear()
@@ -214,6 +217,7 @@ class Tokens:
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.words: list[tuple[str, ...]] = []
+        self.facts: list[tuple[bool, bool, bool]] = []
         self.size = np.zeros(1024, np.int32)
         self.flag = np.zeros(1024, np.int8)
         self.first = np.zeros(1024, np.int64)
@@ -231,6 +235,8 @@ class Tokens:
         self.size[k], self.flag[k], self.first[k] = len(ids), flag, self.used
         self.used += len(ids)
         self.words.append(words)
+        ends = bool(ids) and ids[-1] == END
+        self.facts.append((ends, len(ids) > ends, flag > 0))
         self.of[w] = k
         return k
 
@@ -266,8 +272,10 @@ class Tokens:
         return ids + end, tuple(out), flag
 
     def entries(self, raw: list[str]) -> list[int]:
-        get = self.of.get
-        return [k if (k := get(w)) is not None else self.add(w) for w in raw]
+        found = list(map(self.of.get, raw))
+        if None in found:
+            found = [k if k is not None else self.of[w] if w in self.of else self.add(w) for w, k in zip(raw, found)]
+        return found
 
 
 _TOKENS = Tokens()
@@ -315,7 +323,7 @@ def read(documents: DataFrame, text: str = "text") -> DataFrame:
                     entries.append(e)
                     size.append(len(e))
                     found.append(next(find.iter(" ".join(raw)), None) is not None)
-                flat = np.fromiter((k for e in entries for k in e), np.int64, sum(size))
+                flat = np.fromiter(chain.from_iterable(entries), np.int64, sum(size))
                 own = np.repeat(np.arange(len(entries)), size)
                 flagged = np.bincount(own, tokens.flag[flat] > 0, len(entries)) > 0
                 n = tokens.size[flat]
@@ -338,13 +346,13 @@ def self_votes(tokens: Tokens, entries: list[int], find) -> list[dict]:
     """The votes on the sentences of a document that hold a term or what a pattern needs."""
     out, words, any_term, any_id, at = [], [], False, False, 0
     for k in [*entries, -1]:
-        ends = k < 0
-        if not ends:
+        if k < 0:
+            ends = True
+        else:
             words += tokens.words[k]
-            any_term |= tokens.flag[k] > 0
-            n, first = tokens.size[k], tokens.first[k]
-            ends = bool(n) and tokens.ids[first + n - 1] == END
-            any_id |= n > ends
+            ends, has_ids, has_term = tokens.facts[k]
+            any_term |= has_term
+            any_id |= has_ids
         if ends:
             if any_id:
                 if words and (any_term or next(find.iter(" ".join(words)), None) is not None):
