@@ -13,6 +13,8 @@ from leafspark.session import cut, release
 
 #: Rows of a block on one side of a task's pairs.
 PAIR_ROWS = 8_000
+#: Blocks with more rows than that whose list is broadcast, so that a hot block is salted where it is scanned; more are joined.
+MOST_BIG = 100_000
 STRATEGIES = ("first", "longest", "best_metadata")
 
 
@@ -26,8 +28,9 @@ def pairwise(chunks: DataFrame, block: str, item: str, vec: str = "embedding", t
     """
     kinds = dict(chunks.dtypes)
     base = chunks.where(usable(F.col(vec)) & F.col(item).isNotNull()).select(F.col(block).alias("block"), F.col(item).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.size(vec).alias("width"))
-    sizes = base.groupBy("block", "width").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("salts"))
-    salted = base.join(sizes.withColumnRenamed("block", "_b").withColumnRenamed("width", "_w"), F.col("block").eqNullSafe(F.col("_b")) & (F.col("width") == F.col("_w")))
+    big = cut(base.groupBy(F.col("block").alias("_b"), F.col("width").alias("_w")).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("salts")).where("salts > 1"))
+    big = F.broadcast(big) if big.count() <= MOST_BIG else big
+    salted = base.join(big, F.col("block").eqNullSafe(F.col("_b")) & (F.col("width") == F.col("_w")), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = salted.withColumn("s", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     least = -2.0 if threshold is None else float(threshold)
 
