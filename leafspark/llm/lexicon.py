@@ -36,13 +36,13 @@ _DO = r"(?:hurt|kill|find|break|beat|destroy|smash|crush|get)"
 # Fixed values: (category, voter, what a match votes, pattern). Patterns are searched in the words of a lower-case sentence, with single spaces between, without quoted parts.
 PATTERNS = [
     ("abuse", "dismissal", 1, r"\b(?:shut up|shut your (?:mouth|trap|face)|get lost|piss off|go to hell|drop dead|halt (?:die klappe|den mund|dein maul)|verschwinde|hau ab|ferme la|ta gueule|dégage|casse toi|va t en|cállate|lárgate|vete a la|espèce de|pedazo de)\b|입 다물|닥쳐|꺼져"),
-    ("abuse", "threat", 1, rf"\b(?:(?:i|we) (?:swear (?:i|we) )?(?:will|ll|am going to|are going to) (?:come and )?{_DO} you|{_DO} your (?:\w+ )?(?:fingers?|legs?|neck|bones?|face|arms?|teeth)|(?:breche?|schlage?|haue?) (?:dir|dich)|mach(?:e)? dich fertig|(?:te|vous) (?:casse|tue|frappe|démolis)|te (?:rompo|mato|pego|voy a)|know where you live|watch your back|you will (?:pay|regret)|nobody would miss you)\b|가만 안|죽여|부러뜨"),
-    ("abuse", "contempt", 1, r"\b(?:your (?:own )?mother|deine (?:eigene )?mutter|ta (?:propre )?mère|tu (?:propia )?madre|ashamed of you|schämt sich|bunch of|what an?|so ein|quel(?:le)?|wertlose\w*|pauvre|pobre|complete|total|waste of)\b|쓸모없는|수준이"),
+    ("abuse", "threat", 1, rf"\b(?:(?:i|we) (?:swear (?:i|we) )?(?:will|ll|am going to|are going to) (?:come and )?{_DO} you|{_DO} your (?:\w+ )?(?:fingers?|legs?|neck|bones?|face|arms?|teeth)|(?:breche?|schlage?|haue?) (?:dir|dich)|mach(?:e)? dich fertig|(?:te|vous) (?:casse|tue|frappe|démolis)|te (?:rompo|mato|pego|voy a)|know where you live|watch your back|you will (?:pay|regret))\b|가만 안|죽여|부러뜨"),
+    ("abuse", "contempt", 1, r"\b(?:your (?:own )?mother|deine (?:eigene )?mutter|ta (?:propre )?mère|tu (?:propia )?madre|ashamed of you|schämt sich|what an?|so ein|quel(?:le)?|wertlose\w*|pauvre|pobre|complete|total|waste of)\b|쓸모없는|수준이"),
     ("hate", "everyone", 1, r"\b(?:all|alle|tous les|todos los|those|these|diese|ces|esos) (?:the )?[^\W\d_]+(?: people)? (?:are|sind|sont|son)\b|사람들은 (?:모두|다)|놈들은"),
-    ("hate", "nature", 1, r"\b(?:breed|by birth|born|in their blood|by nature|naissent|nacen|von geburt|von natur|de nature|por naturaleza|their kind|those people|never learn|only know how to)\b|태어날 때부터|천성"),
-    ("hate", "removal", 1, r"\b(?:driven? (?:them )?out|drive (?:them|those)|get rid of|out of (?:our|this|the) (?:schools?|country|town|city|land)|deport\w*|never hire|aus dem land|(?:raus|gejagt|vertrieben|vertreiben)|chass(?:er|és)|hors d(?:u|e) (?:notre )?pays|expuls\w+|ech(?:ar|arlos)|fuera del? (?:nuestro )?país|go back to|not deserve)\b|쫓아내|몰아내|추방"),
+    ("hate", "nature", 1, r"\b(?:breed|by birth|born|in their blood|by nature|naissent|nacen|von geburt|von natur|de nature|por naturaleza|their kind|those people|never learn)\b|태어날 때부터|천성"),
+    ("hate", "removal", 1, r"\b(?:driven? (?:them )?out|drive (?:them|those)|get rid of|out of (?:our|this|the) (?:schools?|country|town|city|land)|deport\w*|aus dem land|(?:raus|gejagt|vertrieben|vertreiben)|chass(?:er|és)|hors d(?:u|e) (?:notre )?pays|expuls\w+|ech(?:ar|arlos)|fuera del? (?:nuestro )?país|go back to)\b|쫓아내|몰아내|추방"),
     ("sexual", "undress", 1, r"\b(?:take off your|undress\w*|strip(?:ped)? (?:for|naked)|wear(?:ing)? nothing|unbutton\w*|zieh dich aus|ausziehen|déshabill\w+|desnúdate|quítate la)\b|옷을 벗"),
-    ("sexual", "desire", 1, r"\b(?:in (?:my|your) bed|in meinem bett|dans mon lit|en mi cama|moan\w*|panting|lust|hookup|caress\w*|seduc\w+|thighs?|skirt|blouse|panties|sleep with (?:me|you)|make love|uncensored|jupe|chemisier|falda|blusa|rock|bluse)\b|침대"),
+    ("sexual", "desire", 1, r"\b(?:in (?:my|your) bed|in meinem bett|dans mon lit|en mi cama|moan\w*|lust|caress\w*|seduc\w+|thighs?|skirt|blouse|panties|sleep with (?:me|you)|make love|jupe|chemisier|falda|blusa|rock|bluse)\b|침대"),
     ("abuse", "meta", -1, _META),
     ("hate", "meta", -1, _META),
     ("sexual", "meta", -1, _META + r"|\b(?:education|health|survey|colou?rs?|design|art|museum|statue|medical)\b"),
