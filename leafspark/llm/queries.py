@@ -185,6 +185,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_group_sizes": f"{_GROUPS} SELECT r AS group_id, CAST(count(*) AS BIGINT) AS n_members, CAST(any_value(n) AS BIGINT) AS n_links FROM g JOIN (SELECT g.r AS k, count(*) AS n FROM links JOIN g ON u = x GROUP BY g.r) ON k = r GROUP BY r",
         "p2_found": f"WITH {_REPEATED} SELECT DISTINCT chunk_id FROM r WHERE 2 * repeated >= n",
         "p3_found": f"WITH {_MUTUAL} SELECT around[1] AS cluster_id, unnest(around) AS chunk_id FROM g",
+        "p3_clusters": f"""WITH RECURSIVE {_SIMILAR}, reach(x, y) AS (SELECT x, x FROM p UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x), g AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+l AS (SELECT c, CAST(count(*) / 2 AS BIGINT) AS n_links FROM p JOIN g USING (x) GROUP BY c), z AS (SELECT c, CAST(count(*) AS BIGINT) AS size FROM g GROUP BY c),
+m AS (SELECT a.c, a.x, round(sum({_COS.replace("a.v", "u.v").replace("b.v", "w.v")}) / count(*), 9) AS mean FROM g a JOIN g b ON a.c = b.c JOIN e u ON u.chunk_id = a.x JOIN e w ON w.chunk_id = b.x GROUP BY a.c, a.x),
+t AS (SELECT c, list(x ORDER BY mean DESC, x)[:3] AS typical FROM m GROUP BY c)
+SELECT c AS cluster_id, size, n_links, 2 * n_links = size * (size - 1) AS mutual, typical FROM z JOIN l USING (c) JOIN t USING (c)""",
         "p4_found": f"""WITH k AS (SELECT model, len(vector) AS n, count(*) AS c FROM emb_cache WHERE len(vector) > 0 GROUP BY ALL), u AS (SELECT model, n FROM k QUALIFY row_number() OVER (PARTITION BY model ORDER BY c DESC, n DESC) = 1),
 e AS (SELECT model, text_hash, CAST(min(vector) AS DOUBLE[]) AS v FROM emb_cache JOIN u USING (model) WHERE {_USABLE.format("vector", "n")} GROUP BY ALL),
 p AS (SELECT a.model, a.text_hash, b.text_hash AS neighbour_hash, {_COS} AS s FROM e a JOIN e b ON a.model = b.model AND a.text_hash <> b.text_hash)
