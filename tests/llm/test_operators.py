@@ -147,6 +147,30 @@ def test_clusters_with_a_hot_cell_and_copies(spark, monkeypatch):
     assert got == {f"{i:04d}": (n, f"{root[i]:04d}") for i, n in enumerate(degree.tolist()) if n}
 
 
+def test_clusters_send_a_vector_once_however_many_blocks(spark, monkeypatch):
+    """Thirty blocks of open vectors and a hot cell of twenty: what is shuffled stays near the rows."""
+    for name, n in (("BLOCK", 20), ("OPEN_BLOCK", 20), ("SIDE", 3), ("OPEN_SIDE", 4)):
+        monkeypatch.setattr(clusters, name, n, raising=False)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((600, 64)), unit(rng.standard_normal((1, 64))) * 8 + 0.3 * rng.standard_normal((400, 64))]).astype(np.float32)
+    x[:40] = x[40:80] * 1.5 + 0.1  # pairs of open vectors
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<float>")
+
+    def sent():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = sent()
+    got = {r.record: (r.degree, r.cluster) for r in clusters.density_clusters(df).collect()}
+    # stages of other queries may go from the store, so only new ones count; the largest is the one that places the vectors
+    assert max(n for k, n in sent().items() if k not in before) <= 3 * len(x)
+    degree, root = brute_clusters(x)
+    assert got == {f"{i:04d}": (n, f"{root[i]:04d}") for i, n in enumerate(degree.tolist()) if n} and len(got) > 450
+
+
 def test_links_by_tiles_and_axes(monkeypatch):
     monkeypatch.setattr(clusters, "TILE", (16, 24))
     x = blobs(150, 64, [40, 3, 2, 60]).astype(np.float32)
